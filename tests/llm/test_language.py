@@ -36,7 +36,7 @@ def test_ranks_and_distance():
     want = sorted(zip((-n).tolist(), k.tolist()))
     assert op.ranked(k, n, 10).tolist() == [x for _, x in want[:10]]
     p = op.Profiles.of({"en": [1, 2, 3], "de": [3, 9]}, 3)
-    assert p.ranks[np.searchsorted(p.keys, np.uint64(3))].tolist() == [1, 2]  # langs in order: de, en
+    assert p.ranks[np.searchsorted(p.keys, np.uint64(3))].tolist() == [0, 2]  # de, en
 
 
 def test_training_and_prediction(spark):
