@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks a worker remembers; beyond that it starts anew. It bounds memory, not results.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
 
 
 def default_path(name: str) -> str:
@@ -129,7 +129,25 @@ def library_encoder(path: str, spaced: bool) -> ChunkEncoder:
         raw, ends = ids.tobytes(), (2 * at).tolist()
         return [raw[a:b] for a, b in zip([0, *(e + 2 for e in ends)], [*ends, len(raw)], strict=True)]
 
-    return ChunkEncoder(words, tok_text, spaced)
+    width = np.zeros(tok.get_vocab_size(), np.int64)  # bytes of each id of a byte-level vocabulary
+    for s, i in tok.get_vocab().items():
+        width[i] = len(s)
+
+    def spaced_words(chunks: list[str]) -> list[bytes]:
+        """Chunks that start with a space may follow one another as they are; their ids end where their bytes do."""
+        follow = [c for c in chunks if c[0] == " " and mark not in c]
+        got = dict.fromkeys(chunks, b"")
+        if follow:
+            ids = np.array(tok_text("".join(follow)), "<u2")
+            ends = np.cumsum([len(c.encode()) for c in follow])
+            at = 2 * np.searchsorted(np.cumsum(width[ids]), ends) + 2
+            raw, at = ids.tobytes(), at.tolist()
+            got.update(zip(follow, [raw[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True))
+        if rest := [c for c in chunks if c[0] != " " or mark in c]:
+            got.update(zip(rest, words(rest), strict=True))
+        return list(got.values())
+
+    return ChunkEncoder(spaced_words if spaced else words, tok_text, spaced)
 
 
 def _ranges(codes: list[int]) -> str:
