@@ -181,9 +181,9 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-with v as (select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as q from embeddings
-           where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-s as (select a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) as bigint) as score
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as q from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) as bigint) as score
       from v a, v b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
