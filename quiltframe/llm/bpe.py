@@ -38,6 +38,15 @@ def spaced_chunks(text: str) -> list[str]:
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
+#: Characters whose lower case or composition may depend on others: texts that hold one keep their case.
+_BOUND = re.compile("[\u0130\u0300-\U0010ffff]")
+
+
+def word_chunks(text: str) -> list[str]:
+    """Words for a vocabulary of lower case that drops white space."""
+    return (text if _BOUND.search(text) else text.lower()).split()
+
+
 class ChunkEncoder:
     """Texts to ids, as bytes of little-endian unsigned 16-bit numbers.
 
@@ -78,7 +87,7 @@ class ChunkEncoder:
                 chars += len(texts[at])
                 group.append(texts[at])
                 at += 1
-            cut = [spaced_chunks(t) if self.spaced else t.split() for t in group]
+            cut = [spaced_chunks(t) if self.spaced else word_chunks(t) for t in group]
             new: set[str] = set()
             for chunks in cut:
                 new.update(chunks)
@@ -131,23 +140,30 @@ def library_encoder(path: str, spaced: bool) -> ChunkEncoder:
 
     width = np.zeros(tok.get_vocab_size(), np.int64)  # bytes of each id of a byte-level vocabulary
     for s, i in tok.get_vocab().items():
-        width[i] = len(s)
+        width[i] = len(s) - (4 if not spaced and s.endswith("</w>") else 0)
+
+    def plain(chunk: str) -> bool:
+        return (chunk[0] == " " if spaced else not _BOUND.search(chunk) and chunk == chunk.lower()) and "<|" not in chunk
 
-    def spaced_words(chunks: list[str]) -> list[bytes]:
-        """Chunks that start with a space may follow one another as they are; their ids end where their bytes do."""
-        follow = [c for c in chunks if c[0] == " " and mark not in c]
+    def following(chunks: list[str]) -> list[bytes]:
+        """Plain chunks may follow one another (with a space, if they have none); their ids end where their bytes do."""
+        follow, rest = [c for c in chunks if plain(c)], [c for c in chunks if not plain(c)]
         got = dict.fromkeys(chunks, b"")
         if follow:
-            ids = np.array(tok_text("".join(follow)), "<u2")
+            ids = np.array(tok_text(("" if spaced else " ").join(follow)), "<u2")
             ends = np.cumsum([len(c.encode()) for c in follow])
-            at = 2 * np.searchsorted(np.cumsum(width[ids]), ends) + 2
-            raw, at = ids.tobytes(), at.tolist()
-            got.update(zip(follow, [raw[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True))
-        if rest := [c for c in chunks if c[0] != " " or mark in c]:
+            upto = np.cumsum(width[ids])
+            at = np.searchsorted(upto, ends)
+            if at[-1] != len(ids) - 1 or (upto[at] != ends).any():  # never seen
+                follow, rest = [], chunks
+            else:
+                raw, at = ids.tobytes(), (2 * at + 2).tolist()
+                got.update(zip(follow, [raw[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True))
+        if rest:
             got.update(zip(rest, words(rest), strict=True))
         return list(got.values())
 
-    return ChunkEncoder(spaced_words if spaced else words, tok_text, spaced)
+    return ChunkEncoder(following, tok_text, spaced)
 
 
 def _ranges(codes: list[int]) -> str:

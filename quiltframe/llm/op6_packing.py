@@ -24,14 +24,13 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, df, n_docs, n_ids = bpe.library_encoder(path, False), np.zeros(VOCAB, np.int64), 0, 0
-        seen = np.zeros(VOCAB, bool)
         for keys, texts in rows(batches, "doc_id", "text"):
             for k, t in chunked(500, keys, texts):
                 out = [raw + end for raw in enc.encode(t)]
                 for raw in out:
-                    seen[:] = False
-                    seen[np.frombuffer(raw, "<u2")] = True
-                    df += seen
+                    x = np.sort(np.frombuffer(raw, "<u2"), kind="stable")
+                    df[x[np.flatnonzero(x[1:] != x[:-1])]] += 1
+                    df[x[-1]] += 1
                 n_docs += len(out)
                 n_ids += sum(map(len, out)) // 2
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array([len(x) // 2 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "ids"])
