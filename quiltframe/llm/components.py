@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quiltframe.llm.common import cut
 
 #: Edges that the driver solves by itself (16 bytes each); larger graphs stay distributed. Both give the same result.
-DRIVER_EDGES = 400_000
+DRIVER_EDGES = 4_000_000
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

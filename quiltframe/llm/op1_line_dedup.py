@@ -14,7 +14,8 @@ from quiltframe.llm.components import components
 from quiltframe.llm.op5_shingle_join import Join, _runs
 from quiltframe.llm.words import U, mix, word_hashes
 
-#: Buckets of the table of word counts, of one byte each: its size does not grow with the corpus.
+#: Buckets of the table of word counts, of one byte each: its size does not grow with the corpus. A byte is
+#: 0 for no word, 1 for one, else 1 more than 7 times the binary logarithm of the count.
 BUCKETS = 1 << 24
 SLICES = 64
 LINE, PAIR = 0, 1
@@ -27,8 +28,12 @@ def token_sets(lines: list[str]) -> list[np.ndarray]:
     return [np.unique(h[edge[i] : edge[i + 1]]) for i in range(len(lines))]
 
 
+def _scaled(n: np.ndarray) -> np.ndarray:
+    return np.where(n < 2, n, np.minimum(255, 1 + np.ceil(7 * np.log2(np.maximum(n, 1))))).astype(np.uint8)
+
+
 def counts(docs: DataFrame) -> np.ndarray:
-    """How often the words of each hash bucket are in all texts, up to 255. Summed in each task, then slice by slice."""
+    """How often the words of each hash bucket are in all texts, on a scale of logarithms. Summed in each task, then slice by slice."""
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,7 +42,7 @@ def counts(docs: DataFrame) -> np.ndarray:
         def out(held: list) -> pa.RecordBatch:
             ids, n = np.unique(np.concatenate(held), return_counts=True)
             edge = np.searchsorted(ids, np.arange(SLICES + 1) * width)
-            blob = [(ids[a:b] % width).astype("<u4").tobytes() + np.minimum(n[a:b], 255).astype(np.uint8).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            blob = [(ids[a:b] % width).astype("<u4").tobytes() + n[a:b].astype("<u4").tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(blob, pa.binary())], ["part", "blob"])
 
         held, size = [], 0
@@ -56,11 +61,11 @@ def counts(docs: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for parts, blobs in rows(batches, "part", "blob"):
             for p, b in zip(parts, blobs, strict=True):
-                n = len(b) // 5
+                n = len(b) // 8
                 s = sums.setdefault(p, np.zeros(BUCKETS // SLICES, np.int64))
-                s[np.frombuffer(b, "<u4", n)] += np.frombuffer(b, np.uint8, n, 4 * n)
+                s[np.frombuffer(b, "<u4", n)] += np.frombuffer(b, "<u4", n, 4 * n)
         for p, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.minimum(s, 255).astype(np.uint8).tobytes()], pa.binary())], ["part", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_scaled(s).tobytes()], pa.binary())], ["part", "blob"])
 
     got = docs.select("text").mapInArrow(run, "part int, blob binary").repartitionById(min(SLICES, parallelism(spark)), F.pmod("part", F.lit(min(SLICES, parallelism(spark))))).mapInArrow(total, "part int, blob binary").collect()  # BUCKETS bytes in all
     out = np.zeros((SLICES, BUCKETS // SLICES), np.uint8)
@@ -69,8 +74,8 @@ def counts(docs: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefixes(h: np.ndarray, of: np.ndarray, n_lines: int, rarity: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class and size of each line; token, line and place of each prefix entry that another line may share.
+def prefixes(h: np.ndarray, of: np.ndarray, n_lines: int, rarity: np.ndarray, join: Join) -> tuple[np.ndarray, ...]:
+    """Class, size and sketch of each line; token, line and place of each prefix entry that another line may share.
 
     The tokens of a line in a global order, rarest first: linked sets that
     differ in d tokens share one among the first d + 1 of each. A token whose
@@ -83,19 +88,22 @@ def prefixes(h: np.ndarray, of: np.ndarray, n_lines: int, rarity: np.ndarray, jo
     fresh[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
     h, of, price = h[fresh], of[fresh], price[fresh]
     n = np.bincount(of, minlength=n_lines).astype(np.int64)
-    cls = np.zeros(n_lines, U)
+    cls, sketch = np.zeros(n_lines, U), np.zeros(n_lines, U)
     first = _runs(of)
     if len(first):
+        sketch[of[first]] = np.bitwise_xor.reduceat(U(1) << (mix(h ^ U(0x51ED27)) >> U(58)), first)
         cls[of[first]] = np.add.reduceat(mix(h), first)
     cls = (mix(cls + n.astype(U)) >> U(1)).astype(np.int64)
     place = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
     longest = np.minimum(join.far(n, join.partner(n)), n - (-(-n * join.p // join.q)))
     keep = (place <= longest[of]) & (price > 1)
-    return cls, n, h[keep], of[keep], place[keep]
+    return cls, n, sketch, h[keep], of[keep], place[keep]
+
 
+def _pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, place: np.ndarray, sketch: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes that share a prefix token within the bounds of size, place and sketch; runs are gone through by distance.
 
-def _pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, place: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes that share a prefix token within the bounds of size and place; runs are gone through by distance."""
+    A sketch is 64 parities: a token that two lines don't share flips one at most."""
     order = np.argsort(key)
     k = key[order]
     twin = np.zeros(len(k), bool)
@@ -103,10 +111,10 @@ def _pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, place: np.ndarray, j
     twin[:-1] |= twin[1:]
     order = order[twin]
     order = order[np.lexsort((cls[order], n[order], key[order]))]  # within a run by size
-    key, cls, n, place = key[order], cls[order], n[order].astype(np.int64), place[order].astype(np.int64)
+    key, cls, n, place, sketch = key[order], cls[order], n[order].astype(np.int64), place[order].astype(np.int64), sketch[order]
     fresh = np.ones(len(key), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-    key, cls, n, place = key[fresh], cls[fresh], n[fresh], place[fresh]
+    key, cls, n, place, sketch = key[fresh], cls[fresh], n[fresh], place[fresh], sketch[fresh]
     starts = _runs(key)
     end = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key)))) if len(key) else starts
     at, step, found = np.arange(len(key)), 1, [np.zeros((2, 0), np.int64)]
@@ -118,7 +126,8 @@ def _pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, place: np.ndarray, j
         for lo in range(0, len(at), 2_000_000):
             i = at[lo : lo + 2_000_000]
             j = i + step
-            ok = place[i] + place[j] <= join.far(n[i], n[j])
+            far = join.far(n[i], n[j])
+            ok = (place[i] + place[j] <= far) & (np.bitwise_count(sketch[i] ^ sketch[j]) <= far)
             i, j = i[ok], j[ok]
             found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]))
         if sum(x.shape[1] for x in found) > 4_000_000:
@@ -148,11 +157,11 @@ def removed_lines(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_toke
     parts = min(60_000, parallelism(spark))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[] for _ in range(9)]
+        held: list[list[np.ndarray]] = [[] for _ in range(10)]
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            sig, s_cls, s_n, place, cls, key, h, number, n = (np.concatenate(x) for x in held)
+            sig, s_cls, s_n, place, s_sketch, cls, key, h, number, n = (np.concatenate(x) for x in held)
             part, home = (sig & U(0xFFFF)).astype(np.int64) % parts, cls % parts
             o, q = np.argsort(part, kind="stable"), np.argsort(home, kind="stable")
             oe, qe = np.searchsorted(part[o], np.arange(parts + 1)), np.searchsorted(home[q], np.arange(parts + 1))
@@ -162,7 +171,7 @@ def removed_lines(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_toke
                 if len(a) or len(b):
                     ids.append(p)
                     six = np.ascontiguousarray(sig[a] >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-                    blobs.append(b"".join(x.tobytes() for x in (np.array([len(a), len(b)], "<u4"), six, s_cls[a], s_n[a], place[a], cls[b], key[b], h[b], number[b], n[b])))
+                    blobs.append(b"".join(x.tobytes() for x in (np.array([len(a), len(b)], "<u4"), six, s_cls[a], s_n[a], place[a], s_sketch[a], cls[b], key[b], h[b], number[b], n[b])))
             for x in held:
                 x.clear()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
@@ -177,14 +186,14 @@ def removed_lines(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_toke
                 split = [t.split("\n") for t in texts[at:to]]
                 n_of = np.array([len(x) for x in split])
                 words, of = word_hashes([x for y in split for x in y])
-                cls, n, sig, line, place = prefixes(words, of, int(n_of.sum()), rarity.value, join)
+                cls, n, sketch, sig, line, place = prefixes(words, of, int(n_of.sum()), rarity.value, join)
                 take = n[line] >= min_tokens
                 sig, line, place = sig[take], line[take], place[take]
                 some = np.flatnonzero(n >= min_tokens)
                 doc = np.repeat(np.arange(to - at), n_of)
                 number = np.arange(len(doc)) - np.repeat(np.cumsum(n_of) - n_of, n_of)
                 # n fits 32 bits; places too, as they are less
-                for x, y in zip(held, (sig, cls[line], n[line].astype("<u4"), place.astype("<u4"), cls[some], np.array(keys[at:to], "<i8")[doc[some]], np.array(hs[at:to], "<i8")[doc[some]], number[some].astype("<u4"), n[some].astype("<u4")), strict=True):
+                for x, y in zip(held, (sig, cls[line], n[line].astype("<u4"), place.astype("<u4"), sketch[line], cls[some], np.array(keys[at:to], "<i8")[doc[some]], np.array(hs[at:to], "<i8")[doc[some]], number[some].astype("<u4"), n[some].astype("<u4")), strict=True):
                     x.append(y)
                 size += len(sig) + len(some)
                 at = to
@@ -202,11 +211,11 @@ def removed_lines(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_toke
             for p, b in zip(part, blobs, strict=True):
                 by.setdefault(p, []).append(b)
         for p in list(by):
-            cols: list[list[np.ndarray]] = [[] for _ in range(9)]
+            cols: list[list[np.ndarray]] = [[] for _ in range(10)]
             for b in by.pop(p):
                 n_sig, n_home = np.frombuffer(b, "<u4", 2).astype(int)
                 at = 8
-                for k, (kind, size) in enumerate([("u1", 6 * n_sig), ("<i8", n_sig), ("<u4", n_sig), ("<u4", n_sig), ("<i8", n_home), ("<i8", n_home), ("<i8", n_home), ("<u4", n_home), ("<u4", n_home)]):
+                for k, (kind, size) in enumerate([("u1", 6 * n_sig), ("<i8", n_sig), ("<u4", n_sig), ("<u4", n_sig), ("<u8", n_sig), ("<i8", n_home), ("<i8", n_home), ("<i8", n_home), ("<u4", n_home), ("<u4", n_home)]):
                     x = np.frombuffer(b, kind, size, at)
                     at += x.nbytes
                     if k == 0:
@@ -214,8 +223,8 @@ def removed_lines(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_toke
                         wide[:, :6] = x.reshape(-1, 6)
                         x = wide.view("<u8")[:, 0]
                     cols[k].append(x)
-            sig, s_cls, s_n, place, cls, key, h, number, _ = (np.concatenate(x) for x in cols)
-            a, b = _pairs(sig, s_cls, s_n, place, join)
+            sig, s_cls, s_n, place, s_sketch, cls, key, h, number, _ = (np.concatenate(x) for x in cols)
+            a, b = _pairs(sig, s_cls, s_n, place, s_sketch, join)
             none = pa.nulls(len(a), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), PAIR), pa.int32()), pa.array(a), pa.array(b), none, none, none, pa.nulls(len(a), pa.bool_())], ["kind", "a", "b", "key", "h", "number", "first"])
             order = np.lexsort((number, h, key, cls))

@@ -13,56 +13,72 @@ from pyspark.sql import functions as F
 
 from quiltframe.llm.common import cut, parallelism, rows, table, written
 from quiltframe.llm.components import components
+from quiltframe.llm.words import U, mix, word_hashes
 
-U = np.uint64
 #: The largest sizes of the bands; each later one is four times the last.
 FIRST_BANDS = (64, 256)
 SKETCHED = 256  # sets up to this size carry a sketch of 256 bits
 INDEX, DELETED, PROBE, PROBE_DELETED = 251, 252, 253, 254  # entries of the smallest band beside its prefixes
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(33))) * U(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> U(33))) * U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> U(33))
+class Prices:
+    """What orders signatures: an estimate of how many documents hold a shingle, 8 for each power of two.
 
+    By the counts of its words over all documents, as if they came together by
+    chance, or by a bounded sample of documents, whichever is more. Linked
+    sets do not depend on it.
+    """
 
-class Words(dict):
-    """The 64-bit hash of each word met; begun anew when it holds a million."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
+    def __init__(self, words: np.ndarray, n_words: int, shingles: np.ndarray, docs: np.ndarray):
+        self.words, self.all, self.shingles, self.docs = words, int(8 * math.log2(max(1, n_words))), shingles, docs
 
-WORDS = Words()
+    def of_words(self, h: np.ndarray) -> np.ndarray:
+        return np.maximum(self.words[(h & U(len(self.words) - 1)).astype(np.int64)].astype(np.int64) - 1, 0) * 8 // 7
 
+    def of_sample(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return np.zeros(len(s), np.int64)
+        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == s, self.docs[at], 0)
 
-def words_of(text: str) -> list[bytes]:
-    """Runs of what is no ASCII white space, A-Z in lower case: bytes.split and bytes.lower mean just that."""
-    return text.encode().lower().split()
 
+def shingle_sets(texts: list[str], width: int, salt: int, prices: Prices | None = None) -> list:
+    """The sorted distinct shingle hashes of each text; a text of fewer words than the width has one of all its words.
 
-def shingle_sets(texts: list[str], width: int, salt: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; a text of fewer words than the width has one of all its words."""
-    out = []
-    for t in texts:
-        w = words_of(t)
-        if not w:
-            out.append(np.zeros(0, U))
-            continue
-        h = np.fromiter(map(WORDS.__getitem__, w), U, len(w))
-        k = min(width, len(h))
-        s = np.full(len(h) - k + 1, (salt * 0x9E3779B97F4A7C15 + k + 1) & 0xFFFFFFFFFFFFFFFF, U)
-        for i in range(k):
-            s = mix(s * U(31) + h[i : len(h) - k + 1 + i])
-        s.sort()
-        if len(s) > 1:
-            s = s[np.concatenate([[True], s[1:] != s[:-1]])]
-        out.append(s)
-    return out
+    With prices: (sets, prices of their shingles).
+    """
+    h, of = word_hashes(texts)
+    n = np.bincount(of, minlength=len(texts)) if len(of) else np.zeros(len(texts), np.int64)
+    k = np.minimum(width, n)  # words of each shingle
+    start = np.cumsum(n) - n
+    m = np.maximum(n - k + 1, 0) * (n > 0)
+    doc = np.repeat(np.arange(len(texts)), m)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(m) - m, m) + start[doc]
+    s = (U(salt) * U(0x9E3779B97F4A7C15)) + k[doc].astype(U) + U(1)
+    cost = prices.of_words(h) if prices else None
+    price = np.full(len(doc), -(prices.all if prices else 0), np.int64)
+    for i in range(width):
+        here = k[doc] > i
+        x = at + i if here.all() else np.minimum(at + i, max(len(h) - 1, 0))
+        s = np.where(here, mix(s * U(31) + h[x]), s) if not here.all() else mix(s * U(31) + h[x])
+        if prices:
+            price += np.where(here, cost[x], 0)
+    edge = np.cumsum(m).tolist()
+    sets, costs, a = [], [], 0
+    for b in edge:
+        if prices:
+            order = np.argsort(s[a:b])
+            one = s[a:b][order]
+        else:
+            one = np.sort(s[a:b])
+        if len(one) > 1:
+            fresh = np.concatenate([[True], one[1:] != one[:-1]])
+            one = one[fresh]
+        sets.append(one)
+        if prices:
+            costs.append(price[a:b][order][fresh] if b - a > 1 else price[a:b])
+        a = b
+    return (sets, costs) if prices else sets
 
 
 def class_of(s: np.ndarray) -> int:
@@ -109,7 +125,7 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
-def signatures(sets: list[np.ndarray], join: Join, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def signatures(sets: list[np.ndarray], join: Join, prices: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(signature, set, place) of what each set is found by, and how many sets the pigeonhole fails.
 
     The subset of a set in one segment, if not empty, is one signature. Of q
@@ -124,11 +140,7 @@ def signatures(sets: list[np.ndarray], join: Join, hot: tuple[np.ndarray, np.nda
     n = np.array([len(s) for s in sets], np.int64)
     S = np.concatenate(sets) if sets else np.zeros(0, U)
     doc = np.repeat(np.arange(len(sets)), n)
-    keys, df = hot
-    cost = np.zeros(len(S), np.int64)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, S), len(keys) - 1)
-        cost = np.where(keys[at] == S, df[at], 0)
+    cost = np.concatenate(prices) if prices else np.zeros(0, np.int64)
     mixed = mix(S ^ U(0xA5A5A5A5))
     u = band_of(n)
     far_partner = join.partner(n)
@@ -148,7 +160,7 @@ def signatures(sets: list[np.ndarray], join: Join, hot: tuple[np.ndarray, np.nda
         dd = d[first]
         base = mix(seg[first] * U(0x9E3779B97F4A7C15) + m[dd].astype(U))
         sig = mix(np.add.reduceat(x, first) + base)
-        price = np.maximum(np.minimum.reduceat(c, first) - 40 * (size - 1), 0)
+        price = np.clip(np.minimum.reduceat(c, first) - 40 * (size - 1), 0, 255)
         order = np.argsort(dd.astype(U) << U(48) | price.astype(U) << U(40) | sig >> U(24))
         od = dd[order]
         starts = np.searchsorted(od, np.arange(len(sets)))
@@ -306,6 +318,7 @@ def candidates(blobs: list[tuple[np.ndarray, ...]], join: Join) -> tuple[np.ndar
     key = np.concatenate([b[0] for b in blobs])
     place = np.concatenate([b[1] for b in blobs])
     node = np.concatenate([np.searchsorted(cls, b[3]).astype(np.uint32)[b[2]] for b in blobs])
+    blobs.clear()
     order = np.argsort(key)
     key = key[order]
     twin = np.zeros(len(key), bool)
@@ -365,12 +378,12 @@ def _step(**columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in kinds.items()], list(kinds))
 
 
-def _hot(docs: DataFrame, width: int, sample: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that two or more of about so many documents hold, with a price by how many do.
+def _prices(docs: DataFrame, width: int, sample: int, salt: int) -> Prices:
+    """Word counts over all documents, and shingles that two or more of about so many documents hold."""
+    from quiltframe.llm.op1_line_dedup import counts
 
-    It only orders signatures, so what is linked does not depend on it.
-    """
-    share = min(1.0, sample / max(1, docs.count()))
+    n = max(1, docs.count())
+    share = min(1.0, sample / n)
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("shingles")), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,16 +393,18 @@ def _hot(docs: DataFrame, width: int, sample: int, salt: int) -> tuple[np.ndarra
                 yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n)], ["k", "n"])
 
     got = chosen.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # of the sample alone
-    k, n = got["k"].to_numpy().astype(U), got["n"].to_numpy()
+    k, of = got["k"].to_numpy().astype(U), got["n"].to_numpy()
     order = np.argsort(k)
-    return k[order], np.minimum(255, 40 + 20 * np.log2(np.maximum(n[order], 1))).astype(np.int64)
+    words = counts(docs)
+    n_words = int((2.0 ** ((words[words > 0].astype(float) - 1) / 7)).sum())
+    return Prices(words, n_words, k[order], (8 * np.log2(np.maximum(of[order] / share, 1))).astype(np.int64))
 
 
 def _found(docs: DataFrame, join: Join, width: int, salt: int, sample: int, grid: int) -> DataFrame | None:
     """Documents, classes and blocks of candidate pairs; None if the pigeonhole fails some set with this salt."""
     spark = docs.sparkSession
-    parts = min(60_000, max(8, parallelism(spark) * 6 // 10))
-    hot = spark.sparkContext.broadcast(_hot(docs, width, sample, salt))  # of a bounded sample
+    parts = min(60_000, parallelism(spark))
+    prices = spark.sparkContext.broadcast(_prices(docs, width, sample, salt))  # 16 MB of counts, and of a bounded sample
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, failing = Packer(parts), 0
@@ -402,15 +417,16 @@ def _found(docs: DataFrame, join: Join, width: int, salt: int, sample: int, grid
             at = 0
             while at < len(texts):
                 to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to]) < 3_000_000) and to - at < 4_000:
+                while to < len(texts) and (to == at or chars + len(texts[to]) < 1_500_000) and to - at < 4_000:
                     chars += len(texts[to])
                     to += 1
-                sets = shingle_sets(texts[at:to], width, salt)
-                sig, doc, place, bad = signatures(sets, join, hot.value)
+                sets, costs = shingle_sets(texts[at:to], width, salt, prices.value)
+                costs = [np.maximum(c, prices.value.of_sample(s)) for c, s in zip(costs, sets, strict=True)]
+                sig, doc, place, bad = signatures(sets, join, costs)
                 failing += bad
                 packer.add(keys[at:to], sets, sig, doc, place)
                 at = to
-                if packer.n_sigs > 2_500_000:
+                if packer.n_sigs > 1_500_000:
                     yield out()
         if packer.n_docs:
             yield out()
@@ -424,10 +440,11 @@ def _found(docs: DataFrame, join: Join, width: int, salt: int, sample: int, grid
                 if b is None:
                     yield _step(kind=[-1])
                 else:
-                    by.setdefault(p, []).append(unpack(b))
+                    by.setdefault(p, []).append(b)
         for p in list(by):
-            got = by.pop(p)
-            a, b = candidates(got, join)
+            got = [unpack(b) for b in by.pop(p)]
+            a, b = candidates([x[:6] for x in got], join)
+            got = [(None,) * 6 + x[6:] for x in got]
             if len(a):
                 ga, gb = a % grid, b % grid
                 a, b = np.where(ga <= gb, a, b), np.where(ga <= gb, b, a)
@@ -448,7 +465,7 @@ def _found(docs: DataFrame, join: Join, width: int, salt: int, sample: int, grid
                 r = rep[at : at + 10_000]
                 yield _step(kind=[CLASS] * len(r), x=ids[r], y=cls[r], n=n[r].astype(np.int64), w=weight[at : at + 10_000], blob=[long[i] for i in r])
 
-    found = written(docs.mapInArrow(emit, "part int, blob binary").repartition(parts, "part").mapInArrow(reduce, STEP))
+    found = written(docs.mapInArrow(emit, "part int, blob binary").repartitionById(parts, F.col("part")).mapInArrow(reduce, STEP))
     return None if found.where("kind = -1").count() else found
 
 
@@ -463,42 +480,43 @@ def _within_bounds(found: DataFrame, join: Join, grid: int) -> DataFrame:
         kind = t["kind"].to_numpy()
         at = np.flatnonzero(kind == PAIRS)
         known = t.take(pa.array(np.flatnonzero(kind == CLASS)))
-        cls, rep, n, sketch = known["y"].to_numpy(), known["x"].to_numpy(), known["n"].to_numpy(), known["blob"]
+        cls, rep, n = (known[c].to_numpy() for c in "yxn")
         order = np.argsort(cls)
         ids = cls[order]
-        pairs = [np.frombuffer(b.as_py(), "<i8").reshape(2, -1) for b in t["blob"].take(pa.array(at))]
-        out_a, out_b = [], []
-        if pairs:
-            pair = np.unique(np.concatenate(pairs, axis=1), axis=1) if len(pairs) > 1 else pairs[0]
+        raw = known["blob"].combine_chunks()
+        raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
+        flat = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+        offset = np.frombuffer(raw.buffers()[1], "<i4")[raw.offset : raw.offset + len(raw) + 1].astype(np.int64) if len(raw) else np.zeros(1, np.int64)
+        words = np.diff(offset) // 8
+        blobs = t["blob"]
+        out: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+        for k in at:  # a partition's pairs after another; most false ones are in one partition only
+            pair = np.frombuffer(blobs[int(k)].as_buffer(), "<i8").reshape(2, -1)
             i, j = order[np.searchsorted(ids, pair[0])], order[np.searchsorted(ids, pair[1])]
             far = join.far(n[i], n[j])
-            raw = sketch.combine_chunks() if isinstance(sketch, pa.ChunkedArray) else sketch
-            raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
-            flat = np.frombuffer(raw.buffers()[2], np.uint8)
-            offset = np.frombuffer(raw.buffers()[1], "<i4")[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
-            words = np.diff(offset) // 8
-            # sketches of equal length are compared together, longer ones folded first
-            level = np.minimum(words[i], words[j])
+            level = np.minimum(words[i], words[j])  # sketches of equal length are compared together, longer ones folded first
             for w in np.unique(level):
                 at_w = np.flatnonzero(level == w)
-                for lo in range(0, len(at_w), max(1, 4_000_000 // int(w))):
-                    s = at_w[lo : lo + max(1, 4_000_000 // int(w))]
+                for lo in range(0, len(at_w), max(1, 1_000_000 // int(w))):
+                    s = at_w[lo : lo + max(1, 1_000_000 // int(w))]
                     sides = []
-                    for k in (i[s], j[s]):
+                    for side in (i[s], j[s]):
                         x = np.zeros((len(s), int(w)), U)
-                        for times in np.unique(words[k] // w):
-                            m = np.flatnonzero(words[k] // w == times)
-                            at_b = offset[k[m]][:, None] + np.arange(int(w * times) * 8)
-                            y = flat[at_b].view(U)
+                        for times in np.unique(words[side] // w):
+                            m = np.flatnonzero(words[side] // w == times)
+                            y = flat[offset[side[m]][:, None] + np.arange(int(w * times) * 8)].view(U)
                             while y.shape[1] > w:
                                 y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
                             x[m] = y
                         sides.append(x)
-                    ok = np.bitwise_count(sides[0] ^ sides[1]).sum(1, dtype=np.int64) <= far[s]
-                    out_a.append(np.minimum(rep[i[s[ok]]], rep[j[s[ok]]]))
-                    out_b.append(np.maximum(rep[i[s[ok]]], rep[j[s[ok]]]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64)})
+                    s = s[np.bitwise_count(sides[0] ^ sides[1]).sum(1, dtype=np.int64) <= far[s]]
+                    out.append(np.stack([np.minimum(rep[i[s]], rep[j[s]]), np.maximum(rep[i[s]], rep[j[s]])]))
+        a, b = np.concatenate(out, axis=1)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        fresh = np.ones(len(a), bool)
+        fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return pa.table({"a": a[fresh], "b": b[fresh]})
 
     return both.repartition(grid * (grid + 1) // 2, "group").groupBy("group").applyInArrow(run, "a long, b long").distinct()
 
@@ -556,7 +574,7 @@ def similar(docs: DataFrame, threshold: tuple[int, int] = (3, 5), width: int = 2
     """
     join = Join(*threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    grid = max(6, math.ceil(math.sqrt(docs.count() / 10_000)))
+    grid = max(8, math.ceil(math.sqrt(docs.count() / 10_000)))
     salt, found = 0, None
     while found is None:
         found = _found(docs, join, width, salt, sample, grid)
@@ -578,7 +596,8 @@ def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-with w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') as words from documents),
+with w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') as words from documents),
 s as (select doc_id, list_distinct(case when len(words) = 0 then cast([] as varchar[]) when len(words) = 1 then [words[1]]
         else list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) end) as sh from w),
 t as (select doc_id, unnest(sh) as x from s),

@@ -69,10 +69,10 @@ def test_every_linked_pair_is_a_candidate():
                 k = int(n * f)
                 sets.append(np.unique(np.concatenate([base[k:], op.mix(g.integers(0, 2**62, int(g.integers(0, k + 1))).astype("u8"))])))
         pool = np.concatenate(sets)
-        hot = np.unique(g.choice(pool, len(pool) // 5)), None
-        hot = hot[0], np.full(len(hot[0]), 90)
+        hot = np.unique(g.choice(pool, len(pool) // 5))
+        prices = [np.isin(s, hot) * 90 for s in sets]
         pk = op.Packer(3)
-        sig, doc, place, bad = op.signatures(sets, join, hot)
+        sig, doc, place, bad = op.signatures(sets, join, prices)
         assert not bad
         pk.add(list(range(len(sets))), sets, sig, doc, place)
         found = set()
