@@ -160,7 +160,7 @@ class ExplodeColumn(Op):
 
     def apply(self, df):
         c = F.col(self.column)
-        parts = F.transform(F.split(c, self.pattern), F.trim) if dict(df.dtypes)[self.column] == "string" else F.array(c)
+        parts = F.transform(F.split(c, self.pattern), lambda x: F.trim(x)) if dict(df.dtypes)[self.column] == "string" else F.array(c)
         if self.drop_empty and dict(df.dtypes)[self.column] == "string":
             parts = F.filter(parts, lambda x: x != "")
         out = df.select(*df.columns, F.posexplode_outer(parts).alias("__p", "__v"))

@@ -36,7 +36,7 @@ def resolve_terms(values: DataFrame, terms: DataFrame, prefix: str | None = None
     if prefix:
         live = live.where(F.col("term_id").startswith(f"{prefix}:"))
     names = live.select(F.lower("name").alias("__k"), "term_id", F.lit(0).alias("rank"))
-    synonyms = live.select(F.lower(F.trim(F.explode(F.split("synonyms", r" \| ")))).alias("__k"), "term_id", F.lit(1).alias("rank"))
+    synonyms = live.select(F.explode(F.split("synonyms", r" \| ")).alias("__s"), "term_id").select(F.lower(F.trim("__s")).alias("__k"), "term_id", F.lit(1).alias("rank"))
     best = names.union(synonyms).groupBy("__k").agg(F.min(F.struct("rank", "term_id")).alias("b"))
     keys = values.select(F.col(value).alias("value")).where("value is not null").distinct().withColumn("__k", F.lower(F.trim("value")))
     conf = F.when(F.col("b.rank") == 0, 1.0).when(F.col("b.rank") == 1, 0.9).otherwise(0.0)
