@@ -18,7 +18,7 @@ from quiltframe.llm.words import U, mix, word_hashes
 #: 0 for no word, 1 for one, else 1 more than 7 times the binary logarithm of the count.
 BUCKETS = 1 << 24
 SLICES = 64
-LINE, PAIR = 0, 1
+GONE, FIRST, PAIR = 0, 1, 2
 
 
 def token_sets(lines: list[str]) -> list[np.ndarray]:
@@ -88,10 +88,12 @@ def prefixes(h: np.ndarray, of: np.ndarray, n_lines: int, rarity: np.ndarray, jo
     fresh[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
     h, of, price = h[fresh], of[fresh], price[fresh]
     n = np.bincount(of, minlength=n_lines).astype(np.int64)
-    cls, sketch = np.zeros(n_lines, U), np.zeros(n_lines, U)
+    cls, sketch = np.zeros(n_lines, U), np.zeros((n_lines, 2), U)
     first = _runs(of)
     if len(first):
-        sketch[of[first]] = np.bitwise_xor.reduceat(U(1) << (mix(h ^ U(0x51ED27)) >> U(58)), first)
+        bit = mix(h ^ U(0x51ED27)) >> U(57)
+        for k in range(2):
+            sketch[of[first], k] = np.bitwise_xor.reduceat(np.where(bit >> U(6) == k, U(1) << (bit & U(63)), U(0)), first)
         cls[of[first]] = np.add.reduceat(mix(h), first)
     cls = (mix(cls + n.astype(U)) >> U(1)).astype(np.int64)
     place = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
@@ -103,7 +105,7 @@ def prefixes(h: np.ndarray, of: np.ndarray, n_lines: int, rarity: np.ndarray, jo
 def _pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, place: np.ndarray, sketch: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of classes that share a prefix token within the bounds of size, place and sketch; runs are gone through by distance.
 
-    A sketch is 64 parities: a token that two lines don't share flips one at most."""
+    A sketch is 128 parities: a token that two lines don't share flips one at most."""
     order = np.argsort(key)
     k = key[order]
     twin = np.zeros(len(k), bool)
@@ -127,7 +129,7 @@ def _pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, place: np.ndarray, s
             i = at[lo : lo + 2_000_000]
             j = i + step
             far = join.far(n[i], n[j])
-            ok = (place[i] + place[j] <= far) & (np.bitwise_count(sketch[i] ^ sketch[j]) <= far)
+            ok = (place[i] + place[j] <= far) & (np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= far)
             i, j = i[ok], j[ok]
             found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]))
         if sum(x.shape[1] for x in found) > 4_000_000:
@@ -166,12 +168,13 @@ def removed_lines(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_toke
             o, q = np.argsort(part, kind="stable"), np.argsort(home, kind="stable")
             oe, qe = np.searchsorted(part[o], np.arange(parts + 1)), np.searchsorted(home[q], np.arange(parts + 1))
             ids, blobs = [], []
+            wide = 4 if s_n.max(initial=0) > 65_535 else 2
             for p in range(parts):
                 a, b = o[oe[p] : oe[p + 1]], q[qe[p] : qe[p + 1]]
                 if len(a) or len(b):
                     ids.append(p)
                     six = np.ascontiguousarray(sig[a] >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-                    blobs.append(b"".join(x.tobytes() for x in (np.array([len(a), len(b)], "<u4"), six, s_cls[a], s_n[a], place[a], s_sketch[a], cls[b], key[b], h[b], number[b], n[b])))
+                    blobs.append(b"".join(x.tobytes() for x in (np.array([len(a), len(b), wide], "<u4"), six, s_cls[a], s_n[a].astype(f"<u{wide}"), place[a].astype(f"<u{wide}"), s_sketch[a], cls[b], key[b], h[b], number[b], n[b])))
             for x in held:
                 x.clear()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
@@ -203,7 +206,9 @@ def removed_lines(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_toke
         if size:
             yield from out()
 
-    schema = "kind int, a long, b long, key long, h long, number long, first boolean"
+    schema = "kind int, a long, b long, key long, h long, number long"
+
+    names = ["kind", "a", "b", "key", "h", "number"]
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[bytes]] = {}
@@ -213,49 +218,52 @@ def removed_lines(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_toke
         for p in list(by):
             cols: list[list[np.ndarray]] = [[] for _ in range(10)]
             for b in by.pop(p):
-                n_sig, n_home = np.frombuffer(b, "<u4", 2).astype(int)
-                at = 8
-                for k, (kind, size) in enumerate([("u1", 6 * n_sig), ("<i8", n_sig), ("<u4", n_sig), ("<u4", n_sig), ("<u8", n_sig), ("<i8", n_home), ("<i8", n_home), ("<i8", n_home), ("<u4", n_home), ("<u4", n_home)]):
+                n_sig, n_home, wide = np.frombuffer(b, "<u4", 3).astype(int)
+                at = 12
+                for k, (kind, size) in enumerate([("u1", 6 * n_sig), ("<i8", n_sig), (f"<u{wide}", n_sig), (f"<u{wide}", n_sig), ("<u8", 2 * n_sig), ("<i8", n_home), ("<i8", n_home), ("<i8", n_home), ("<u4", n_home), ("<u4", n_home)]):
                     x = np.frombuffer(b, kind, size, at)
                     at += x.nbytes
                     if k == 0:
-                        wide = np.zeros((n_sig, 8), np.uint8)
-                        wide[:, :6] = x.reshape(-1, 6)
-                        x = wide.view("<u8")[:, 0]
-                    cols[k].append(x)
+                        full = np.zeros((n_sig, 8), np.uint8)
+                        full[:, :6] = x.reshape(-1, 6)
+                        x = full.view("<u8")[:, 0]
+                    cols[k].append(x.reshape(-1, 2) if k == 4 else x)
             sig, s_cls, s_n, place, s_sketch, cls, key, h, number, _ = (np.concatenate(x) for x in cols)
             a, b = _pairs(sig, s_cls, s_n, place, s_sketch, join)
             none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), PAIR), pa.int32()), pa.array(a), pa.array(b), none, none, none, pa.nulls(len(a), pa.bool_())], ["kind", "a", "b", "key", "h", "number", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), PAIR), pa.int32()), pa.array(a), pa.array(b), none, none, none], names)
             order = np.lexsort((number, h, key, cls))
-            first = np.zeros(len(order), bool)
-            first[_runs(cls[order])] = True
-            # the same place may be there twice, as equal rows: it goes or stays as one
-            for k in range(0, len(order), 100_000):
-                o = order[k : k + 100_000]
-                none = pa.nulls(len(o), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), LINE), pa.int32()), pa.array(cls[o]), none, pa.array(key[o]), pa.array(h[o]), pa.array(number[o].astype("i8")), pa.array(first[k : k + 100_000])], ["kind", "a", "b", "key", "h", "number", "first"])
+            cls, key, h, number = cls[order], key[order], h[order], number[order].astype(np.int64)
+            start = _runs(cls)
+            run = np.repeat(start, np.diff(np.append(start, len(cls))))
+            # equal rows have the same place twice: it goes or stays as one
+            gone = (key != key[run]) | (h != h[run]) | (number != number[run])
+            kind = np.where(gone, GONE, FIRST)
+            keep = np.flatnonzero(gone | (run == np.arange(len(run))))
+            for k in range(0, len(keep), 100_000):
+                o = keep[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(kind[o], pa.int32()), pa.array(cls[o]), pa.nulls(len(o), pa.int64()), pa.array(key[o]), pa.array(h[o]), pa.array(number[o])], names)
 
     found = written(docs.mapInArrow(emit, "part int, blob binary").repartitionById(parts, F.col("part")).mapInArrow(reduce, schema))
-    lines = found.where(f"kind = {LINE}")
-    first = lines.where("first").select(F.col("a").alias("cls"), "key", "h", "number")
-    pairs = cut(found.where(f"kind = {PAIR}").select("a", "b").distinct())
-    linked = _verified(docs, first, pairs, join)
+    first = found.where(f"kind = {FIRST}").select(F.col("a").alias("cls"), "key", "h", "number")
+    pairs = written(found.where(f"kind = {PAIR}").select("a", "b").distinct())
+    linked = written(_verified(docs, first, pairs, join))
     one, other = (first.select(F.col("cls").alias(c), F.struct("key", "h", "number").alias(f"at_{c}")) for c in "ab")
     met = linked.join(one, "a").join(other, "b")
     later = met.select(F.greatest("at_a", "at_b").alias("at")).select("at.*")
-    copies = lines.where("not first").select("key", "h", "number").join(first.select(F.col("key"), F.col("h"), F.col("number")), ["key", "h", "number"], "left_anti")
-    return copies.union(later).groupBy("key", "h").agg(F.collect_set("number").alias("gone"))
+    return found.where(f"kind = {GONE}").select("key", "h", "number").union(later).groupBy("key", "h").agg(F.collect_set("number").alias("gone"))
 
 
-def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, join: Join, block: int = 1_024) -> DataFrame:
+def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, join: Join, block: int = 8_192) -> DataFrame:
     """a, b: the pairs of classes whose first lines are linked; lines go once to each block of their component."""
     spark = docs.sparkSession
     reach = components(pairs)
     size = reach.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     place = cut(reach.join(size, "root").select(F.col("node").alias("cls"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
-    wanted = place.join(first, "cls").groupBy("key", "h").agg(F.collect_list(F.struct("number", "cls", "root", "blocks", "block")).alias("some"))  # of one document
-    cut_out = docs.join(wanted, ["key", "h"]).dropDuplicates(["key", "h"]).select(F.split("text", "\n").alias("line"), F.explode("some").alias("s")).select("s.*", F.element_at("line", (F.col("s.number") + 1).cast("int")).alias("text"))
+    wanted = place.join(first, "cls").groupBy("key", "h").agg(F.sort_array(F.collect_list(F.struct("number", "cls", "root", "blocks", "block"))).alias("some"))  # of one document
+    # the lines are cut out before they are spread, each by itself; equal rows give the same lines, of which a group takes one
+    line = F.split("text", "\n", -1)
+    cut_out = docs.join(wanted, ["key", "h"]).select(F.explode(F.transform("some", lambda x: F.struct(x["cls"].alias("cls"), x["root"].alias("root"), x["blocks"].alias("blocks"), x["block"].alias("block"), F.element_at(line, (x["number"] + 1).cast("int")).alias("text")))).alias("s")).select("s.*")
     sent = cut_out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     of_a = place.select(F.col("cls").alias("a"), "root", F.col("block").alias("ba"))
     of_b = place.select(F.col("cls").alias("b"), F.col("block").alias("bb"))
@@ -274,7 +282,7 @@ def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, join: Join, b
                     out[1].append(y)
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
-    return sent.union(asked).repartition(parallelism(spark), F.pmod(F.xxhash64("root", "i", "j"), F.lit(4 * parallelism(spark)))).groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
+    return sent.union(asked).repartition(parallelism(spark), "root", "i", "j").groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def dedup(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_tokens: int = 5) -> DataFrame:
