@@ -418,3 +418,54 @@ def curie_prefixes(t):
 @query("select o_orderkey, null as c_name, o_totalprice from orders where o_orderkey < 500 union all select null, c_name, null from customer where c_custkey < 50")
 def diagonal_concat(t):
     return ragged.diagonal([t.orders.where("o_orderkey < 500").select("o_orderkey", "o_totalprice"), t.customer.where("c_custkey < 50").select("c_name")])
+
+
+_TERMS = "(select concat(p_brand, ':', lpad(cast(p_partkey as varchar), 12, '0')) as id, lower(p_name) as name, concat('syn', p_partkey % 500) as syn from part where p_size < 40)"
+
+
+@query(f"with v as (select distinct p_name as value from part union select distinct concat('SYN', p_partkey % 700) from part), b as (select k, min((r, id)) as m from (select name as k, 0 as r, id from {_TERMS} union all select syn, 1, id from {_TERMS}) group by k) select value, m[2] as resolved, case m[1] when 0 then 1.0 when 1 then 0.9 else 0.0 end as confidence from v left join b on k = lower(value)")
+def resolve_terms(t):
+    terms = t.part.select(F.concat("p_brand", F.lit(":"), feature(F.col("p_partkey"))).alias("term_id"), F.col("p_name").alias("name"), F.concat(F.lit("syn"), F.col("p_partkey") % 500).alias("synonyms"), (F.col("p_size") >= 40).alias("obsolete"))
+    values = t.part.select(F.col("p_name").alias("value")).union(t.part.select(F.concat(F.lit("SYN"), F.col("p_partkey") % 700)))
+    return resolution.resolve_terms(values, terms).select("value", "resolved", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query("select count(*) as total, count(*) filter (where n_regionkey is not null) as resolved, count(*) filter (where n_regionkey is null) as unresolved from (select distinct p_size from part) left join nation on n_nationkey = p_size")
+def resolution_report(t):
+    r = t.part.select("p_size").distinct().join(t.nation, F.col("p_size") == F.col("n_nationkey"), "left").select(F.col("n_regionkey").alias("resolved"))
+    return resolution.report(r).select("total", "resolved", "unresolved")
+
+
+@query("with h as (select p_brand as query, concat('chr', p_size) as chrom, p_partkey as start, p_retailprice as matched from part), r as (select *, row_number() over (partition by query order by matched desc, chrom, start) as n from h where regexp_matches(chrom, '^chr([0-9]+|X|Y|M)$')) select query, chrom, start from r where n = 1")
+def best_alignment(t):
+    hits = t.part.select(F.col("p_brand").alias("query"), F.concat(F.lit("chr"), "p_size").alias("chrom"), F.col("p_partkey").alias("start"), F.col("p_retailprice").alias("matched"))
+    return I.best_hit(hits).select("query", "chrom", "start")
+
+
+@query("select distinct n_name as name, coalesce(n2, 'other') as sequence from nation left join (select n_name as k, concat('s', n_nationkey) as n2 from nation where n_nationkey % 2 = 0) on k = n_name")
+def sequence_names(t):
+    even = F.col("n_nationkey") % 2 == 0
+    assembly = t.nation.select(F.concat(F.lit("s"), "n_nationkey").alias("sequence_name"), F.when(even, F.col("n_name")).alias("ucsc_name"), F.lit(None).cast("string").alias("genbank"), F.lit(None).cast("string").alias("refseq"))
+    return I.sequence_names(t.nation.select(F.col("n_name").alias("name")), assembly)
+
+
+@query("select s_suppkey, case when s_nationkey % 5 = 0 then 'odd' else 'wide' end as organism from supplier")
+def organism_by_prefix(t):
+    idc = F.concat(F.when(F.col("s_nationkey") % 5 == 0, "ENS").otherwise("ENSW"), "s_suppkey")
+    pre = t.spark.createDataFrame([("ENS", "odd"), ("ENSW", "wide")], "prefix string, organism string")
+    ids_ = t.supplier.select("s_suppkey", idc.alias("id"))
+    return ids_.join(resolution.organism(ids_, pre), "id").select("s_suppkey", "organism")
+
+
+@query("select c_custkey, c_mktsegment, case when s_suppkey is not null then c_acctbal else c_acctbal end as c_acctbal from customer left join supplier on s_suppkey = c_custkey where c_custkey < 300")
+def set_and_drop(t):
+    df = C.AddColumn("tmp", 1, "int").apply(t.customer.where("c_custkey < 300"))
+    out, status = C.apply(df, C.Transaction("customer", [C.DropColumn("tmp"), C.RenameColumn("c_name", "name"), C.SetColumn("name", "x")]))
+    assert status == "applied"
+    return out.select("c_custkey", "c_mktsegment", "c_acctbal")
+
+
+@query("select user_id, min(event_id) as first_event, count(*) as n from events group by user_id having count(*) >= 40")
+def stratified_events(t):
+    n = K.summary(t.events, "user_id", {"n": ("count", "event_id")}).where("n >= 40")
+    return n.join(t.events.groupBy("user_id").agg(F.min("event_id").alias("first_event")), "user_id")
