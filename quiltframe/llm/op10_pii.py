@@ -86,6 +86,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # What a pattern misses but the model may label: numbers written otherwise, spelt-out and cut addresses.
 _NUMBER = re.compile(r"(?<![\w.+])\(?[0-9][0-9() .\-/]{5,30}[0-9](?![\w])")
+#: Parts of a run of digits that is too long for a pattern, as where a phone and a card number follow one another.
+_GROUPED = re.compile(r"(?<![\w.+])\+?(?:[0-9]{1,3} )?\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])")
+_SOLID = re.compile(r"(?<![\w.+])[0-9]{16,19}(?!\w)")
 _SPELT = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({] ?(?:at|AT|@) ?[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({] ?(?:dot|DOT|\.) ?[\])}]) ?[A-Za-z0-9-]{1,63}){1,8}")
 _HALF = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?![\w.-])")
 _SPELT_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:\[\.\][0-9]{1,3}|\(\.\)[0-9]{1,3}|\[dot\][0-9]{1,3}){3}(?![\w.])")
@@ -142,7 +145,8 @@ def mentions(text: str, base: list[tuple[int, int, int]] | None = None) -> list[
     if "@" in text or "(at" in text or "[at" in text or "{at" in text or "AT" in text:
         found += [m.span() for p in (_SPELT, _HALF) for m in p.finditer(text)]
     if _DIGIT.search(text):
-        found += [m.span() for p in (_NUMBER, _SPELT_IP) for m in p.finditer(text)]
+        found += [m.span() for p in (_GROUPED, _SOLID, _SPELT_IP) for m in p.finditer(text)]
+        found += [m.span() for m in _NUMBER.finditer(text) if len(_NOT_DIGIT.sub("", m[0])) <= 15]
     for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
         k = bisect_left(starts, b)
         if a >= last and not (k and reach[k - 1] > a):

@@ -75,4 +75,6 @@ def test_rows(spark):
     assert got[2].spans == got[3].spans == got[4].spans == ""
     red = {r.doc_id: r.text for r in op.redact(docs, m).collect()}
     assert red[0] == "call <PHONE> now; later <PHONE> again" and red[3] is None and red[4] == "" and red[2] == texts[2]
+    both = "dial +1 (208) 555-1177 4284896609045836 now"  # too many digits for either pattern
+    assert op.base_spans(both) == brute(both) == [] and op.text_of(m.spans(both)[1]) == "card:23:39,phone:5:22"
     assert op.find(docs.limit(0), op.train(docs.limit(0))).count() == 0
