@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltframe.llm.common import cut, parallelism, rows, table, written
+from quiltframe.llm.common import cut, parallelism, release, rows, table, written
 from quiltframe.llm.components import components
 from quiltframe.llm.op5_shingle_join import Join, _runs
 from quiltframe.llm.words import U, mix, word_hashes
@@ -91,7 +91,7 @@ def prefixes(h: np.ndarray, of: np.ndarray, n_lines: int, rarity: np.ndarray, jo
     cls, sketch = np.zeros(n_lines, U), np.zeros((n_lines, 2), U)
     first = _runs(of)
     if len(first):
-        bit = mix(h ^ U(0x51ED27)) >> U(57)
+        bit = (mix(h ^ U(0x51ED27)) >> U(40)) % U(96)
         for k in range(2):
             sketch[of[first], k] = np.bitwise_xor.reduceat(np.where(bit >> U(6) == k, U(1) << (bit & U(63)), U(0)), first)
         cls[of[first]] = np.add.reduceat(mix(h), first)
@@ -105,7 +105,7 @@ def prefixes(h: np.ndarray, of: np.ndarray, n_lines: int, rarity: np.ndarray, jo
 def _pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, place: np.ndarray, sketch: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of classes that share a prefix token within the bounds of size, place and sketch; runs are gone through by distance.
 
-    A sketch is 128 parities: a token that two lines don't share flips one at most."""
+    A sketch is 96 parities: a token that two lines don't share flips one at most."""
     order = np.argsort(key)
     k = key[order]
     twin = np.zeros(len(k), bool)
@@ -173,8 +173,8 @@ def removed_lines(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_toke
                 a, b = o[oe[p] : oe[p + 1]], q[qe[p] : qe[p + 1]]
                 if len(a) or len(b):
                     ids.append(p)
-                    six = np.ascontiguousarray(sig[a] >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-                    blobs.append(b"".join(x.tobytes() for x in (np.array([len(a), len(b), wide], "<u4"), six, s_cls[a], s_n[a].astype(f"<u{wide}"), place[a].astype(f"<u{wide}"), s_sketch[a], cls[b], key[b], h[b], number[b], n[b])))
+                    six = np.ascontiguousarray(sig[a] >> U(16)).view(np.uint8).reshape(-1, 8)[:, :5]
+                    blobs.append(b"".join(x.tobytes() for x in (np.array([len(a), len(b), wide], "<u4"), six, s_cls[a], s_n[a].astype(f"<u{wide}"), place[a].astype(f"<u{wide}"), s_sketch[a, 0], s_sketch[a, 1].astype("<u4"), cls[b], key[b], h[b], number[b], n[b])))
             for x in held:
                 x.clear()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
@@ -216,20 +216,20 @@ def removed_lines(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_toke
             for p, b in zip(part, blobs, strict=True):
                 by.setdefault(p, []).append(b)
         for p in list(by):
-            cols: list[list[np.ndarray]] = [[] for _ in range(10)]
+            cols: list[list[np.ndarray]] = [[] for _ in range(11)]
             for b in by.pop(p):
                 n_sig, n_home, wide = np.frombuffer(b, "<u4", 3).astype(int)
                 at = 12
-                for k, (kind, size) in enumerate([("u1", 6 * n_sig), ("<i8", n_sig), (f"<u{wide}", n_sig), (f"<u{wide}", n_sig), ("<u8", 2 * n_sig), ("<i8", n_home), ("<i8", n_home), ("<i8", n_home), ("<u4", n_home), ("<u4", n_home)]):
+                for k, (kind, size) in enumerate([("u1", 5 * n_sig), ("<i8", n_sig), (f"<u{wide}", n_sig), (f"<u{wide}", n_sig), ("<u8", n_sig), ("<u4", n_sig), ("<i8", n_home), ("<i8", n_home), ("<i8", n_home), ("<u4", n_home), ("<u4", n_home)]):
                     x = np.frombuffer(b, kind, size, at)
                     at += x.nbytes
                     if k == 0:
                         full = np.zeros((n_sig, 8), np.uint8)
-                        full[:, :6] = x.reshape(-1, 6)
+                        full[:, :5] = x.reshape(-1, 5)
                         x = full.view("<u8")[:, 0]
-                    cols[k].append(x.reshape(-1, 2) if k == 4 else x)
-            sig, s_cls, s_n, place, s_sketch, cls, key, h, number, _ = (np.concatenate(x) for x in cols)
-            a, b = _pairs(sig, s_cls, s_n, place, s_sketch, join)
+                    cols[k].append(x)
+            sig, s_cls, s_n, place, low, high, cls, key, h, number, _ = (np.concatenate(x) for x in cols)
+            a, b = _pairs(sig, s_cls, s_n, place, np.stack([low, high.astype(U)], axis=1), join)
             none = pa.nulls(len(a), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), PAIR), pa.int32()), pa.array(a), pa.array(b), none, none, none], names)
             order = np.lexsort((number, h, key, cls))
@@ -298,13 +298,14 @@ def dedup(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_tokens: int
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     keyed = docs.select(key.alias("key"), F.xxhash64("text").alias("h"), "text")
     gone = removed_lines(keyed.where("text is not null"), threshold, min_tokens)
+    release(docs.sparkSession)
     names = docs.columns
     rows_ = docs.withColumn("__qf_key", key).withColumn("__qf_h", F.xxhash64("text"))
     got = rows_.join(gone.toDF("__qf_key", "__qf_h", "__qf_gone"), ["__qf_key", "__qf_h"], "left")
     lines = F.split("text", "\n", -1)
     some = F.col("__qf_gone").isNotNull()
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__qf_gone", i.cast("long"))), "\n")
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     return got.select(*[F.when(some, kept).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in names], n.alias("n_lines"), F.coalesce(F.size("__qf_gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
