@@ -579,7 +579,7 @@ def similar(docs: DataFrame, threshold: tuple[int, int] = (3, 5), width: int = 2
     while found is None:
         found = _found(docs, join, width, salt, sample, grid)
         salt += 1
-    pairs = cut(_within_bounds(found, join, grid))
+    pairs = written(_within_bounds(found, join, grid))
     links = written(_verified(docs, pairs, join, width))
     reach = components(links)
     classes = found.where(f"kind = {CLASS}").select(F.col("x").alias("rep"), F.col("y").alias("cls"), F.col("w").alias("weight"))
