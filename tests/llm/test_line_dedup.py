@@ -85,3 +85,19 @@ def test_sql(spark):
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     want = sorted(con.execute(f"select doc_id, n_lines, n_removed, text from ({op.SQL})").fetchall())
     assert sorted(tuple(r) for r in QUERIES["op1_line_dedup"](spark, sf).collect()) == want
+
+
+def test_all_lines_with_words_when_asked(spark):
+    docs = [(i, t + "\nAll rights reserved.\n你好世界\nw1") for i, t in corpus()] + [(100, "\n"), (101, "one two three four\none two three\nfour three two one five")]
+    seen, want = [], {}
+    for i, t in docs:
+        keep = []
+        for line in t.split("\n"):
+            s = set(line.lower().split())
+            if not (s and any(5 * len(s & r) >= 4 * len(s | r) for r in seen)):
+                keep.append(line)
+            if s:
+                seen.append(s)
+        want[i] = "\n".join(keep)
+    got = op.dedup(spark.createDataFrame(docs, "doc_id long, text string"), min_tokens=1).collect()
+    assert {r.doc_id: r.text for r in got} == want
