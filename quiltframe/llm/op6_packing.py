@@ -65,10 +65,13 @@ def frequencies(tokens: DataFrame) -> tuple[int, int, np.ndarray]:
 class Shard:
     """An inverted index over some documents with BM25 scores by the statistics of all.
 
-    terms: how many of a seed's terms, those of highest weight, ask for neighbours.
+    terms: how many of a seed's terms, those of highest weight, ask for neighbours; None is all.
+    Terms that more than one document in 16 has are dense rows, at most ROWS_MB of them, which are summed faster.
     """
 
-    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float, terms: int = 12, k1: float = 1.2, b: float = 0.75):
+    ROWS_MB = 64
+
+    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float, terms: int | None = None, k1: float = 1.2, b: float = 0.75):
         self.ids, self.idf, self.terms = ids, idf, terms
         self.length = np.array([len(x) for x in ids], np.int64)
         n = len(ids)
@@ -80,22 +83,62 @@ class Shard:
         self.start = np.searchsorted(term, np.arange(VOCAB + 1))
         norm = k1 * (1 - b + b * self.length[self.doc] / max(mean, 1.0))
         self.impact = (idf[term] * tf * (k1 + 1) / (tf + norm)).astype(np.float32)
+        self.doc = self.doc.astype(np.int32)
+        df = np.diff(self.start)
+        often = np.flatnonzero(df * 16 > max(n, 1))
+        often = often[np.argsort(-df[often], kind="stable")[: self.ROWS_MB * 250_000 // max(n, 1)]]
+        self.row = np.full(VOCAB, -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n), np.float32)
+        for r, k in enumerate(often):
+            s = slice(self.start[k], self.start[k + 1])
+            self.dense[r, self.doc[s]] = self.impact[s]
         self.used = np.zeros(n, bool)
+        self.live = np.arange(n)  # what the index still holds
         self.next = 0
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first, ties by place."""
-        t, tf = np.unique(self.ids[seed], return_counts=True)
-        weight = self.idf[t] * tf / (tf + 1.2)
-        if len(t) > self.terms:
+    def shrink(self) -> None:
+        """Takes used documents out of the index once they are a quarter of it."""
+        keep = ~self.used[self.live]
+        if 4 * np.count_nonzero(keep) > 3 * len(keep):
+            return
+        new = np.cumsum(keep, dtype=np.int32) - 1
+        there = keep[self.doc]
+        self.start = np.concatenate([[0], np.cumsum(there)])[self.start]
+        self.doc, self.impact = new[self.doc[there]], self.impact[there]
+        self.dense, self.live = np.compress(keep, self.dense, axis=1), self.live[keep]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """The BM25 score of each document of live for the seed's terms, 0 for used ones."""
+        t, tf = np.unique(self.ids[seed].astype(np.int64), return_counts=True)
+        if self.terms is not None and len(t) > self.terms:
+            weight = self.idf[t] * tf / (tf + 1.2)
             t = t[np.argsort(-weight, kind="stable")[: self.terms]]
-        score = np.zeros(len(self.ids), np.float32)
-        for k in t:
-            s = slice(self.start[k], self.start[k + 1])
-            score[self.doc[s]] += self.impact[s]
-        score[self.used] = 0
+        self.shrink()
+        row = self.row[t]
+        t = t[row < 0]
+        n = self.start[t + 1] - self.start[t]
+        at = np.arange(n.sum()) + np.repeat(self.start[t] - np.cumsum(n) + n, n)
+        score = np.bincount(self.doc[at], self.impact[at], len(self.live)).astype(np.float32)
+        for r in row[row >= 0]:
+            score += self.dense[r]
+        score[self.used[self.live]] = 0
+        return score
+
+    def ordered(self, seed: int, head: int = 64) -> Iterator[np.ndarray]:
+        """Unused documents that share a query term with the seed, best first, ties by place: the best head of them, then the others."""
+        score = self.scores(seed)
         some = np.flatnonzero(score)
-        return some[np.argsort(-score[some], kind="stable")]
+        score, some = score[some], self.live[some]
+        if len(some) > 4 * head:
+            first = score >= np.partition(score, len(some) - head)[len(some) - head]
+            yield some[first][np.argsort(-score[first], kind="stable")]
+            score, some = score[~first], some[~first]
+        yield some[np.argsort(-score, kind="stable")]
+
+    def neighbours(self, seed: int) -> np.ndarray:
+        """All that ordered() gives."""
+        return np.concatenate(list(self.ordered(seed)))
 
     def any(self) -> int:
         """The first unused document, -1 if none is left."""
@@ -111,23 +154,21 @@ class Shard:
         partly filled window is cut into sequences of powers of two.
         """
         out: list[tuple[int, int, int, int, int]] = []
-        sequence, room, queue = 0, window, np.zeros(0, np.int64)
-        at = 0  # within queue
+        sequence, room, queue = 0, window, iter(())
         pending = (-1, 0)  # a document begun
         while True:
             if pending[0] >= 0:
                 doc, start = pending
                 if room == window and self.length[doc] - start < window:
-                    queue, at = self.neighbours(doc), 0
+                    queue = (int(x) for part in self.ordered(doc) for x in part)
             else:
-                while at < len(queue) and self.used[queue[at]]:
-                    at += 1
-                doc, start = (int(queue[at]), 0) if at < len(queue) and room < window else (self.any(), 0)
+                near = next((x for x in queue if not self.used[x]), -1) if room < window else -1
+                doc, start = (near, 0) if near >= 0 else (self.any(), 0)
                 if doc < 0:
                     break
                 self.used[doc] = True
-                if not (at < len(queue) and room < window) and self.length[doc] < room:
-                    queue, at = self.neighbours(doc), 0
+                if near < 0 and self.length[doc] < room:
+                    queue = (int(x) for part in self.ordered(doc) for x in part)
             take = int(min(room, self.length[doc] - start))
             out.append((doc, start, take, sequence, window - room))
             room -= take
@@ -156,7 +197,7 @@ def pack(docs: DataFrame, window: int = 4096, path: str | None = None, end_id: i
 
     Documents become ids once, which are kept in the shared folder together with
     each task's document frequencies; BM25 weighs terms by the sums over all
-    documents. The index is sharded: a task cuts its documents into shards of
+    documents, and all terms of a seed ask. The index is sharded: a task cuts its documents into shards of
     about shard_tokens ids, so memory is bounded, and a seed's neighbours come
     from its shard. Every id lies in exactly one piece; windows are full but
     for a shard's last, which is cut into powers of two, so nothing is padded.

@@ -64,6 +64,24 @@ def test_neighbours_follow_bm25():
     assert np.all(np.diff([score[d] for d in got]) <= 1e-4)
 
 
+def test_neighbours_by_all_terms_as_in_production():
+    g = np.random.default_rng(4)
+    ids = [np.concatenate([g.integers(0, 60, 80), g.zipf(1.3, 120) % 5000]).astype("u2") for _ in range(600)]
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=VOCAB)
+    idf = np.log1p((600 - df + 0.5) / (df + 0.5)).astype("f4")
+    mean = np.mean([len(x) for x in ids])
+    s = Shard(ids, idf, mean)
+    assert 0 < len(s.dense) < np.count_nonzero(df)
+    s.used[[7, 9]] = True
+    tf = np.stack([np.bincount(x, minlength=VOCAB) for x in ids]).astype(float)
+    impact = idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * np.array([[len(x)] for x in ids]) / mean))
+    for seed in (7, 9):
+        want = impact[:, np.unique(ids[seed])].sum(1)
+        got = s.neighbours(seed)
+        assert sorted(got) == [d for d in range(600) if want[d] > 0 and not s.used[d]]
+        assert np.all(np.diff(want[got]) <= 1e-3)
+
+
 def test_table(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
