@@ -192,14 +192,112 @@ class Shard:
             sequence, left, offset = sequence + 1, left - size, offset + size
 
 
+def _vectors(ids: list[np.ndarray], idf: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Random projections of the documents' weighted terms, of length 1."""
+    v = np.zeros((len(ids), base.shape[1]), np.float32)
+    for k, x in enumerate(ids):
+        t, tf = np.unique(x.astype(np.int64), return_counts=True)
+        v[k] = (idf[t] * tf / (tf + 1.2)).astype(np.float32) @ base[t]
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
+
+def _base(dims: int = 64) -> np.ndarray:
+    return np.random.default_rng(6).standard_normal((VOCAB, dims), np.float32)
+
+
+Tree = dict[int, tuple[np.ndarray, float]]
+
+
+def split(v: np.ndarray, tokens: np.ndarray, most: float) -> tuple[Tree, dict[int, tuple[int, int]]]:
+    """Cuts between two means each until no side has more than so many tokens; the place of each leaf among all and its shard.
+
+    Neighbouring leaves share a shard while they fit.
+    """
+    tree: Tree = {}
+    shard: dict[int, tuple[int, int]] = {}
+    held, no = 0.0, 0
+    todo = [(1, np.arange(len(v)))]
+    while todo:
+        p, at = todo.pop()
+        size = float(tokens[at].sum())
+        if size > most and len(at) >= 16:
+            x = v[at]
+            right = (x - x.mean(0)) @ np.linalg.svd(np.cov(x.T))[0][:, 0] > 0
+            for _ in range(20):
+                if right.all() or not right.any():
+                    break
+                a, b = x[~right].mean(0), x[right].mean(0)
+                right, before = x @ (b - a) > (a + b) @ (b - a) / 2, right
+                if (right == before).all():
+                    break
+            if right.any() and not right.all():
+                a, b = x[~right].mean(0), x[right].mean(0)
+                tree[p] = (b - a, float((a + b) @ (b - a) / 2))
+                todo += [(2 * p + 1, at[right]), (2 * p, at[~right])]
+                continue
+        if held and held + size > most:
+            held, no = 0.0, no + 1
+        held += size
+        shard[p] = (len(shard), no)
+    return tree, shard
+
+
+def leaves(v: np.ndarray, tree: Tree) -> list[int]:
+    out = [1] * len(v)
+    todo = [(1, np.arange(len(v)))]
+    while todo:
+        p, at = todo.pop()
+        if p in tree and len(at):
+            right = v[at] @ tree[p][0] > tree[p][1]
+            todo += [(2 * p + 1, at[right]), (2 * p, at[~right])]
+        else:
+            for i in at.tolist():
+                out[i] = p
+    return out
+
+
+def routed(tokens: DataFrame, weights, n_docs: int, n_ids: int, shard_tokens: int) -> DataFrame:
+    """doc_id, ids and shard, documents of like terms together; a shard lies in one partition, in an order that no file split changes.
+
+    The cuts are learned from a sample, of which the driver gets 64 numbers a document.
+    """
+    most = 0.875 * shard_tokens  # room for what the sample does not show
+    kept = tokens.where("n >= 0").select("doc_id", "n", "ids")
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = _base()
+        for n, raw in rows(batches, "n", "ids"):
+            v = _vectors([np.frombuffer(r, "<u2") for r in raw], weights.value, base)
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array([x.tobytes() for x in v], pa.binary())], ["n", "v"])
+
+    tree, shard = {}, {1: (0, 0)}
+    if n_ids > shard_tokens:
+        share = min(1.0, max(8_000, min(100_000, 32 * n_ids / most)) / n_docs)
+        got = kept.where(F.pmod(F.xxhash64("ids"), F.lit(1_000_000)) < share * 1_000_000).select("n", "ids").mapInArrow(project, "n long, v binary").collect()  # at most about 100,000
+        got.sort(key=lambda r: (r.n, r.v))
+        if got:
+            n = np.array([r.n for r in got], float)
+            tree, shard = split(np.stack([np.frombuffer(r.v, np.float32) for r in got]), n * (n_ids / n.sum()), most)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = _base() if tree else None
+        for keys, raw in rows(batches, "doc_id", "ids"):
+            p = leaves(_vectors([np.frombuffer(r, "<u2") for r in raw], weights.value, base), tree) if tree else [1] * len(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(raw, pa.binary()), pa.array([shard[x][0] for x in p], pa.int32()), pa.array([shard[x][1] for x in p], pa.int32())], ["doc_id", "ids", "leaf", "shard"])
+
+    parts = 1 + max(no for _, no in shard.values())
+    there = kept.mapInArrow(route, "doc_id long, ids binary, leaf int, shard int").repartitionById(parts, F.col("shard"))
+    return there.sortWithinPartitions("shard", "leaf", "doc_id", F.xxhash64("ids")).select("doc_id", "ids", "shard")
+
+
 def pack(docs: DataFrame, window: int = 4096, path: str | None = None, end_id: int = 2, shard_tokens: int = 12_000_000) -> DataFrame:
     """Pieces of every document of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Documents become ids once, which are kept in the shared folder together with
     each task's document frequencies; BM25 weighs terms by the sums over all
-    documents, and all terms of a seed ask. The index is sharded: a task cuts its documents into shards of
-    about shard_tokens ids, so memory is bounded, and a seed's neighbours come
-    from its shard. Every id lies in exactly one piece; windows are full but
+    documents, and all terms of a seed ask. The index is sharded, so memory is
+    bounded: documents of like terms go to one shard of about shard_tokens ids
+    (one that is larger is cut), and a seed's neighbours come from its shard. Every id lies in exactly one piece; windows are full but
     for a shard's last, which is cut into powers of two, so nothing is padded.
     A document longer than a window fills several. Null and empty texts are
     their end id alone; repeated rows are packed one by one; an empty table
@@ -215,7 +313,7 @@ def pack(docs: DataFrame, window: int = 4096, path: str | None = None, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, no, keys, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
+        task, no, keys, ids, held, last = TaskContext.get().partitionId(), 0, [], [], 0, -1
 
         def flush() -> Iterator[pa.RecordBatch]:
             base = task << TASK_BITS | no << SHARD_BITS
@@ -228,18 +326,19 @@ def pack(docs: DataFrame, window: int = 4096, path: str | None = None, end_id: i
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
                 )
 
-        for k, raw in rows(batches, "doc_id", "ids"):
-            for key, r in zip(k, raw, strict=True):
-                if ids and held + len(r) // 2 > shard_tokens:
+        for k, raw, shards in rows(batches, "doc_id", "ids", "shard"):
+            for key, r, shard in zip(k, raw, shards, strict=True):
+                if ids and (held + len(r) // 2 > shard_tokens or shard != last):
                     yield from flush()
                     no, keys, ids, held = no + 1, [], [], 0
+                last = shard
                 keys.append(key)
                 ids.append(np.frombuffer(r, "<u2"))
                 held += len(r) // 2
         if ids:
             yield from flush()
 
-    return tokens.where("n >= 0").select("doc_id", "ids").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return routed(tokens, weights, n_docs, n_ids, shard_tokens).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,21 @@ def test_pieces(spark, shard):
     assert pack(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("files", [1, 6])
+def test_like_documents_meet_across_files(spark, files):
+    """Documents of one topic lie in all files and more than one shard apart."""
+    g = np.random.default_rng(8)
+    topics = [[f"{w}{k}" for w in ("river", "engine", "violin", "harbor", "pepper", "castle")] for k in range(8)]
+    texts = [" ".join(g.choice(topics[i % 8], 30)) for i in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).repartition(files)
+    got = pack(docs, window=512, shard_tokens=2_500).collect()
+    by = defaultdict(set)
+    for r in got:
+        by[r.sequence_id >> 20].add(r.doc_id % 8)
+    assert len(by) > 3
+    assert np.mean([len(x) for x in by.values()]) < 4
+
+
 def test_neighbours_follow_bm25():
     g = np.random.default_rng(1)
     ids = [g.integers(0, 40, int(n)).astype("u2") for n in g.integers(3, 30, 25)]
