@@ -89,6 +89,11 @@ _NUMBER = re.compile(r"(?<![\w.+])\(?[0-9][0-9() .\-/]{5,30}[0-9](?![\w])")
 #: Parts of a run of digits that is too long for a pattern, as where a phone and a card number follow one another.
 _GROUPED = re.compile(r"(?<![\w.+])\+?(?:[0-9]{1,3} )?\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])")
 _SOLID = re.compile(r"(?<![\w.+])[0-9]{16,19}(?!\w)")
+#: Digits and what may part them; the digits of a longer run than a pattern takes are cut by _runs.
+_LONG = re.compile(r"\(?[0-9][0-9() .\-/]*[0-9](?!\w)")
+_CHUNK = re.compile(r"[0-9]+")
+_GAP = re.compile(r"[() .\-/]{1,3}")
+_BRACKET_AT = re.compile(r"[\[({] ?(?:at|AT|@)")
 _SPELT = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({] ?(?:at|AT|@) ?[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({] ?(?:dot|DOT|\.) ?[\])}]) ?[A-Za-z0-9-]{1,63}){1,8}")
 _HALF = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?![\w.-])")
 _SPELT_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:\[\.\][0-9]{1,3}|\(\.\)[0-9]{1,3}|\[dot\][0-9]{1,3}){3}(?![\w.])")
@@ -98,6 +103,41 @@ _CUES = (re.compile(r"mail|contact|write", re.I), re.compile(r"\bip\b|host|serve
 N_FEATURES = 22
 
 
+def _runs(text: str, start: int, end: int) -> Iterator[Span]:
+    """What lies in a run of more than 15 digits: a card number, else what is between slashes or more than one separator, else groups of 7 to 15 digits that end a number of 4."""
+    chunks = [m.span() for m in _CHUNK.finditer(text, start, end)]
+    i = 0
+    while i < len(chunks):
+        best, digits, j = None, "", i
+        while j < len(chunks) and len(digits) < 19:
+            if j > i and not _GAP.fullmatch(text, chunks[j - 1][1], chunks[j][0]):
+                break
+            digits += text[chunks[j][0] : chunks[j][1]]
+            if 16 <= len(digits) <= 19 and luhn(digits):
+                best = (j, len(digits))
+            j += 1
+        if best is None:  # a phone: up to a wide gap, else as far as the first number of four digits from the seventh on
+            size, j = 0, i
+            while j < len(chunks):
+                gap = text[chunks[j - 1][1] : chunks[j][0]] if j > i else ""
+                if j > i and ("/" in gap or (len(gap) > 1 and "(" in gap and size >= 7) or gap.count(" ") > 1):
+                    break
+                size += chunks[j][1] - chunks[j][0]
+                if size > 15:
+                    break
+                if size >= 7:
+                    best = (j, size)
+                    if chunks[j][1] - chunks[j][0] == 4 and size >= 10:
+                        break
+                j += 1
+        if best is None:
+            i += 1
+            continue
+        a, b = chunks[i][0], chunks[best[0]][1]
+        yield (a - 1 if a > start and text[a - 1] == "(" else a), b
+        i = best[0] + 1
+
+
 @dataclass
 class Mention:
     start: int
@@ -142,11 +182,18 @@ def mentions(text: str, base: list[tuple[int, int, int]] | None = None) -> list[
     starts = [a for a, _ in taken]
     last = 0
     found: list[Span] = []
-    if "@" in text or "(at" in text or "[at" in text or "{at" in text or "AT" in text:
+    if "@" in text or _BRACKET_AT.search(text):
         found += [m.span() for p in (_SPELT, _HALF) for m in p.finditer(text)]
     if _DIGIT.search(text):
         found += [m.span() for p in (_GROUPED, _SOLID, _SPELT_IP) for m in p.finditer(text)]
-        found += [m.span() for m in _NUMBER.finditer(text) if len(_NOT_DIGIT.sub("", m[0])) <= 15]
+        m = _NUMBER.search(text)
+        while m:
+            if len(_NOT_DIGIT.sub("", m[0])) <= 15:
+                found.append(m.span())
+            else:
+                m = _LONG.match(text, m.start())
+                found += _runs(text, *m.span())
+            m = _NUMBER.search(text, m.end())
     for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
         k = bisect_left(starts, b)
         if a >= last and not (k and reach[k - 1] > a):
@@ -216,7 +263,7 @@ class Model:
     def spans(self, text: str, least: float = 0.9) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """The patterns' spans, and all spans: those and what the model adds with a marginal of at least so much."""
         base = base_spans(text)
-        found = mentions(text, base) if base or "@" in text or _DIGIT.search(text) or "at" in text else []
+        found = mentions(text, base) if base or "@" in text or _DIGIT.search(text) or "at" in text or "AT" in text else []
         if not any(x.kind < 0 for x in found):
             return base, base
         b = self.beliefs(found)

@@ -78,3 +78,15 @@ def test_rows(spark):
     both = "dial +1 (208) 555-1177 4284896609045836 now"  # too many digits for either pattern
     assert op.base_spans(both) == brute(both) == [] and op.text_of(m.spans(both)[1]) == "card:23:39,phone:5:22"
     assert op.find(docs.limit(0), op.train(docs.limit(0))).count() == 0
+
+
+def test_long_runs_and_spaced_brackets_are_candidates():
+    def parts(text):
+        return [text[m.start : m.end] for m in op.mentions(text)]
+
+    assert parts("+1 (988) 555-2485; later 988 555-2485 / 204 555-1177") == ["+1 (988) 555-2485", "988 555-2485", "204 555-1177"]
+    assert parts("card 4041.8949.7460.8795 now") == ["4041.8949.7460.8795"]
+    assert parts("988 555-2485 204 555-1177") == ["988 555-2485", "204 555-1177"]
+    assert parts("988 555-2485 204 555-1177 301 555-9999 x") == ["988 555-2485", "204 555-1177", "301 555-9999"]
+    assert parts("to john.doe [ at ] example [ dot ] com") == ["john.doe [ at ] example [ dot ] com"]
+    assert parts("to john.doe ( AT ) example.com") == ["john.doe ( AT ) example.com"]
