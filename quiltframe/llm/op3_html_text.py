@@ -35,33 +35,37 @@ HINTS = frozenset(
 )
 HEADER_HINTS = frozenset("header masthead topbar banner".split())
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
-WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+WORD = re.compile(r"[A-Za-z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _marked(tag: str, attributes: str) -> str:
-    """"out" for what is left out, "head" for headers, "main" for an article, else ""."""
+def _marked(tag: str, attributes: str, hints: bool = True) -> str:
+    """"out" for what is left out, "head" for headers, "main" for an article, else "".
+
+    Article and main, by tag or role, win over classes, of which only whole names count, - and _ left out. hints: whether classes count at all.
+    """
     if tag in OUTSIDE:
         return "out"
     kind = "head" if tag == "header" else "main" if tag in ("article", "main") else ""
     if not attributes or attributes.isspace() or tag in ("html", "body"):
         return kind
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), a or b or c
+    found = [(name.lower(), a or b or c) for name, a, b, c in ATTRIBUTE.findall(attributes)]
+    for name, value in found:
+        if name == "role" and {w.lower() for w in WORD.findall(value)} & {"main", "article"}:
+            kind = "main"
+    for name, value in found:
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and HIDDEN.search(value)):
             return "out"
-        if name in ("class", "id", "role"):
-            words = {w.lower() for w in WORD.findall(value)}
+        if name in ("class", "id", "role") and kind != "main" and hints:
+            words = {w.lower().replace("-", "").replace("_", "") for w in value.split()}
             if words & HEADER_HINTS and "banner" not in words:
                 kind = kind or "head"
             elif words & HINTS:
                 return "out"
-            elif name == "role" and words & {"main", "article"}:
-                kind = "main"
     return kind
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool, bool]]:
+def lines(page: str, hints: bool = True) -> list[tuple[str, int, bool, bool, bool]]:
     """The blocks of a page without markup: text, characters in links, left out, within an article, heading."""
     out: list[tuple[str, int, bool, bool, bool]] = []
     stack: list[tuple[str, str, bool, bool]] = []  # tag, mark, left out, within an article; each with what is around it
@@ -115,7 +119,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             continue
         if tag == "a":
             link += 1
-        mark = _marked(tag, m.group(4))
+        mark = _marked(tag, m.group(4), hints)
         if tag in BLOCK or mark:
             flush()
             link = link if tag not in BLOCK else 0
@@ -145,16 +149,17 @@ def lines(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     return out
 
 
-def main_text(page: str, window: int = 3, surge: int = 80) -> str:
+def main_text(page: str, window: int = 3, surge: int = 80, hints: bool = True) -> str:
     """The main text of a page, its blocks joined by blank lines.
 
     Block lengths are summed over windows of so many lines. The text starts
     where a sum surges above the threshold and ends where the sum dives to
     nothing; what markup names as menu, advert, comment and so on counts as
     empty lines, as do lines made of links. Where the page marks its article,
-    lines outside it are empty and any text is a surge.
+    lines outside it are empty and any text is a surge. Where classes leave
+    nothing of a page, it is read again without them (hints).
     """
-    found = lines(page)
+    found = lines(page, hints)
     marked = any(inside and not left_out for _, _, left_out, inside, _ in found)
     if marked:
         size = [0 if left_out or not inside else len(text) for text, _, left_out, inside, _ in found]
@@ -178,6 +183,8 @@ def main_text(page: str, window: int = 3, surge: int = 80) -> str:
             on = False
         if on and size[i]:
             keep.append(i)
+    if hints and found and not keep:
+        return main_text(page, window, surge, False)
     return "\n\n".join(found[i][0] for i in keep)
 
 

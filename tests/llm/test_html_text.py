@@ -24,6 +24,14 @@ def test_main_text(page):
     assert main_text(page) == CASES[page]
 
 
+@pytest.mark.parametrize("name", "has-sidebar comments-open content-with-sidebar related share social notice widget".split())
+def test_classes_do_not_empty_an_article(name):
+    for open_, close in (("<article class='post %s'>", "</article>"), ("<main id='%s'>", "</main>"), ("<div class='%s' role=main>", "</div>")):
+        assert main_text(f"<nav>menu</nav>{open_ % name}<p>{LONG}</p>{close}<div class='ad'>{LONG}</div>") == LONG
+    assert main_text(f"<nav>menu</nav><div class='{name}'><p>{LONG}</p><p>{LONG}</p></div>") == f"{LONG}\n\n{LONG}"
+    assert main_text(f"<div class='{name}' hidden><p>{LONG}</p></div>") == ""
+
+
 def test_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, None, "<p>a", "x"), (None, "u", "<p>" + "é " * 50_000, "x")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in extract(pages).collect())
