@@ -18,7 +18,7 @@ from quiltframe.llm.words import U, mix, word_hashes
 #: 0 for no word, 1 for one, else 1 more than 7 times the binary logarithm of the count.
 BUCKETS = 1 << 24
 SLICES = 64
-GONE, FIRST, PAIR = 0, 1, 2
+GONE, PAIR, HOT = 0, 1, 2
 
 
 def token_sets(lines: list[str]) -> list[np.ndarray]:
@@ -32,8 +32,8 @@ def _scaled(n: np.ndarray) -> np.ndarray:
     return np.where(n < 2, n, np.minimum(255, 1 + np.ceil(7 * np.log2(np.maximum(n, 1))))).astype(np.uint8)
 
 
-def counts(docs: DataFrame) -> np.ndarray:
-    """How often the words of each hash bucket are in all texts, on a scale of logarithms. Summed in each task, then slice by slice."""
+def counts(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """How often the words of each hash bucket are in all texts, on a scale of logarithms, and their number. Summed in each task, then slice by slice."""
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +51,7 @@ def counts(docs: DataFrame) -> np.ndarray:
                 h = (word_hashes(texts[at : at + 500])[0] & U(BUCKETS - 1)).astype(np.uint32)
                 held.append(h)
                 size += len(h)
-                if size > 5_000_000:
+                if size > 2_000_000:
                     yield out(held)
                     held, size = [], 0
         if size:
@@ -65,13 +65,13 @@ def counts(docs: DataFrame) -> np.ndarray:
                 s = sums.setdefault(p, np.zeros(BUCKETS // SLICES, np.int64))
                 s[np.frombuffer(b, "<u4", n)] += np.frombuffer(b, "<u4", n, 4 * n)
         for p, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_scaled(s).tobytes()], pa.binary())], ["part", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_scaled(s).tobytes()], pa.binary()), pa.array([int(s.sum())])], ["part", "blob", "n"])
 
-    got = docs.select("text").mapInArrow(run, "part int, blob binary").repartitionById(min(SLICES, parallelism(spark)), F.pmod("part", F.lit(min(SLICES, parallelism(spark))))).mapInArrow(total, "part int, blob binary").collect()  # BUCKETS bytes in all
+    got = docs.select("text").mapInArrow(run, "part int, blob binary").repartitionById(min(SLICES, parallelism(spark)), F.pmod("part", F.lit(min(SLICES, parallelism(spark))))).mapInArrow(total, "part int, blob binary, n long").collect()  # BUCKETS bytes in all
     out = np.zeros((SLICES, BUCKETS // SLICES), np.uint8)
     for r in got:
         out[r.part] = np.frombuffer(r.blob, np.uint8)
-    return out.reshape(-1)
+    return out.reshape(-1), sum(r.n for r in got)
 
 
 def prefixes(h: np.ndarray, of: np.ndarray, n_lines: int, rarity: np.ndarray, join: Join) -> tuple[np.ndarray, ...]:
@@ -102,88 +102,159 @@ def prefixes(h: np.ndarray, of: np.ndarray, n_lines: int, rarity: np.ndarray, jo
     return cls, n, sketch, h[keep], of[keep], place[keep]
 
 
-def _pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, place: np.ndarray, sketch: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, place: np.ndarray, sketch: np.ndarray, join: Join, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of classes that share a prefix token within the bounds of size, place and sketch; runs are gone through by distance.
 
-    A sketch is 96 parities: a token that two lines don't share flips one at most."""
-    order = np.argsort(key)
-    k = key[order]
-    twin = np.zeros(len(k), bool)
-    twin[1:] = k[1:] == k[:-1]
-    twin[:-1] |= twin[1:]
-    order = order[twin]
-    order = order[np.lexsort((cls[order], n[order], key[order]))]  # within a run by size
+    A sketch is 96 parities: a token that two lines don't share flips one at most. With sides only pairs across them count.
+    """
+    order = np.lexsort((cls, n, key))  # within a run by size
     key, cls, n, place, sketch = key[order], cls[order], n[order].astype(np.int64), place[order].astype(np.int64), sketch[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-    key, cls, n, place, sketch = key[fresh], cls[fresh], n[fresh], place[fresh], sketch[fresh]
+    side = None if side is None else side[order]
     starts = _runs(key)
     end = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key)))) if len(key) else starts
-    at, step, found = np.arange(len(key)), 1, [np.zeros((2, 0), np.int64)]
+    at, step, found, held = np.arange(len(key)), 1, [np.zeros((2, 0), np.int64)], 0
     while True:
         at = at[at + step < end[at]]
         at = at[n[at + step] * join.p <= n[at] * join.q]  # sizes grow with the step, so no later one fits either
         if not len(at):
             break
-        for lo in range(0, len(at), 2_000_000):
-            i = at[lo : lo + 2_000_000]
+        for lo in range(0, len(at), 250_000):
+            i = at[lo : lo + 250_000]
             j = i + step
             far = join.far(n[i], n[j])
-            ok = (place[i] + place[j] <= far) & (np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= far)
+            ok = place[i] + place[j] <= far
+            if side is not None:
+                ok &= side[i] != side[j]
+            i, j, far = i[ok], j[ok], far[ok]
+            ok = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= far
             i, j = i[ok], j[ok]
             found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]))
-        if sum(x.shape[1] for x in found) > 4_000_000:
-            found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+            held += len(i)
+        if held > 1_000_000:
+            found = [_distinct(found)]
+            held = 0
         step += 1
-    a, b = np.concatenate(found, axis=1)
+    a, b = _distinct(found)
+    return a, b
+
+
+def _distinct(pairs: list[np.ndarray]) -> np.ndarray:
+    both = np.concatenate(pairs, axis=1)
+    both = both[:, np.lexsort((both[1], both[0]))]
+    fresh = np.ones(both.shape[1], bool)
+    fresh[1:] = (both[:, 1:] != both[:, :-1]).any(0)
+    return both[:, fresh]
+
+
+#: The columns of an entry that follow its token, and their types; n, place and number are of 2 bytes where all of a blob fit.
+ENTRY = {"cls": "<i8", "n": "", "place": "", "number": "", "low": "<u8", "high": "<u4", "doc": "<u4"}
+#: GONE: key, h, number of a line. PAIR: a is a partition, blob pairs for it. HOT: a is a token, b a block of its run that meets blocks number to last.
+FOUND = "kind int, a long, b long, key long, h long, number long, last long, blob binary"
+NAMES = ["kind", "a", "b", "key", "h", "number", "last", "blob"]
+TYPES = [pa.int32()] + [pa.int64()] * 6 + [pa.binary()]
+#: Both classes of a pair and where their first lines are.
+PAIRS = ["a", "b", "key", "h", "number", "key2", "h2", "number2"]
+
+
+def _packed(sig: np.ndarray, col: dict[str, np.ndarray], keys: np.ndarray, hs: np.ndarray) -> bytes:
+    wide = 4 if max(col[c].max(initial=0) for c in ("n", "place", "number")) > 65_535 else 2
+    out = [np.array([len(sig), len(keys), wide], "<u4"), np.ascontiguousarray(sig >> U(16)).view(np.uint8).reshape(-1, 8)[:, :5]]
+    out += [col[c].astype(t or f"<u{wide}") for c, t in ENTRY.items()] + [keys.astype("<i8"), hs.astype("<i8")]
+    return b"".join(x.tobytes() for x in out)
+
+
+def _unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    """The entries of some blobs: sig (without the 16 bits that told the partition), the columns of ENTRY, key and h."""
+    parts: dict[str, list[np.ndarray]] = {}
+    for b in blobs:
+        m, d, wide = np.frombuffer(b, "<u4", 3).astype(int)
+        six = np.zeros((m, 8), np.uint8)
+        six[:, :5] = np.frombuffer(b, "u1", 5 * m, 12).reshape(-1, 5)
+        at = 12 + 5 * m
+        col = {"sig": six.view("<u8")[:, 0]}
+        for c, t in ENTRY.items():
+            col[c] = np.frombuffer(b, t or f"<u{wide}", m, at)
+            at += col[c].nbytes
+        doc = col.pop("doc")
+        col["key"], col["h"] = (np.frombuffer(b, "<i8", d, at + k * 8 * d)[doc] for k in range(2))
+        for c, x in col.items():
+            parts.setdefault(c, []).append(x)
+    return {c: np.concatenate(x) for c, x in parts.items()}
+
+
+def _found(kind: int, **cols: np.ndarray) -> Iterator[pa.RecordBatch]:
+    size = len(next(iter(cols.values())))
+    for at in range(0, size, 50_000):
+        m = min(50_000, size - at)
+        have = {"kind": np.full(m, kind, "i4")} | {c: x[at : at + m] for c, x in cols.items()}
+        yield pa.RecordBatch.from_arrays([pa.array(have[c], t) if c in have else pa.nulls(m, t) for c, t in zip(NAMES, TYPES, strict=True)], NAMES)
+
+
+def _met(col: dict[str, np.ndarray], join: Join, parts: int, side: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of kind PAIR for entries of which each token and class has one."""
+    a, b = _pairs(col["sig"], col["cls"], col["n"], col["place"], np.stack([col["low"], col["high"].astype(U)], axis=1), join, side)
     if not len(a):
-        return a, b
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    fresh = np.ones(len(a), bool)
-    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[fresh], b[fresh]
-
-
-def removed_lines(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_tokens: int = 5) -> DataFrame:
+        return
+    cls, at = np.unique(col["cls"], return_index=True)
+    i, j = at[np.searchsorted(cls, a)], at[np.searchsorted(cls, b)]
+    pairs = np.stack([a, b, *(col[c][k].astype(np.int64) for k in (i, j) for c in ("key", "h", "number"))])
+    part = a % parts
+    order = np.argsort(part, kind="stable")
+    pairs, part = pairs[:, order], part[order]
+    start = _runs(part)
+    blobs = [pairs[:, x:y].astype("<i8").tobytes() for x, y in zip(start, np.append(start[1:], len(part)), strict=True)]
+    yield from _found(PAIR, a=part[start], blob=np.array(blobs, object))
+
+
+def removed_lines(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_tokens: int = 5, run: int = 4_096) -> DataFrame:
     """key, h, gone: for each row of docs (key long, h long, text) with lines to remove their numbers from 0.
 
     A line is removed if an earlier one, by (key, h, number), has a Jaccard
     similarity of at least the threshold, by the sets of their lower-case (A-Z)
     words. Lines of fewer than min_tokens distinct words neither remove nor go.
+
+    All lines of one set share their prefix, so the partition of its rarest
+    token sees every copy and the partitions of all its tokens agree which is
+    the first. A token that more than ``run`` classes share is cut into blocks,
+    whose pairs are spread over tasks of their own.
     """
     spark = docs.sparkSession
     join = Join(*threshold)
     docs = docs.where("text <> ''")
-    rarity = spark.sparkContext.broadcast(counts(docs))  # BUCKETS bytes
-    parts = min(60_000, parallelism(spark))
+    table_, tokens = counts(docs)
+    rarity = spark.sparkContext.broadcast(table_)  # BUCKETS bytes
+    # about a fifth of all tokens are prefix entries, of some 40 bytes: partitions of at most about 32 MB
+    parts = min(60_000, max(parallelism(spark), tokens // 4_000_000 + 1))
+    flush = min(1_000_000, max(200_000, 32 * parts))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[] for _ in range(10)]
-        size = 0
+        held: list[tuple[np.ndarray, ...]] = []
+        keys, hs, size = [], [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            sig, s_cls, s_n, place, s_sketch, cls, key, h, number, n = (np.concatenate(x) for x in held)
-            part, home = (sig & U(0xFFFF)).astype(np.int64) % parts, cls % parts
-            o, q = np.argsort(part, kind="stable"), np.argsort(home, kind="stable")
-            oe, qe = np.searchsorted(part[o], np.arange(parts + 1)), np.searchsorted(home[q], np.arange(parts + 1))
-            ids, blobs = [], []
-            wide = 4 if s_n.max(initial=0) > 65_535 else 2
-            for p in range(parts):
-                a, b = o[oe[p] : oe[p + 1]], q[qe[p] : qe[p + 1]]
-                if len(a) or len(b):
-                    ids.append(p)
-                    six = np.ascontiguousarray(sig[a] >> U(16)).view(np.uint8).reshape(-1, 8)[:, :5]
-                    blobs.append(b"".join(x.tobytes() for x in (np.array([len(a), len(b), wide], "<u4"), six, s_cls[a], s_n[a].astype(f"<u{wide}"), place[a].astype(f"<u{wide}"), s_sketch[a, 0], s_sketch[a, 1].astype("<u4"), cls[b], key[b], h[b], number[b], n[b])))
-            for x in held:
-                x.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
-
-        for keys, hs, texts in rows(batches, "key", "h", "text"):
+            sig, *cols = (np.concatenate([x[k] for x in held]) for k in range(8))
+            held.clear()
+            part = (sig & U(0xFFFF)).astype(np.int64) % parts
+            o = np.lexsort((cols[-1], part))
+            sig, part = sig[o], part[o]
+            col = {c: x[o] for c, x in zip(ENTRY, cols, strict=True)}
+            doc = col["doc"].astype(np.int64)
+            fresh = np.ones(len(o), bool)
+            fresh[1:] = (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])
+            local, of = np.cumsum(fresh) - 1, doc[fresh]
+            k, h = np.array(keys, "<i8")[of], np.array(hs, "<i8")[of]
+            start = _runs(part)
+            ids, blobs = part[start], []
+            for a, b in zip(start, np.append(start[1:], len(part)), strict=True):
+                c = {name: x[a:b] for name, x in col.items()} | {"doc": local[a:b] - local[a]}
+                blobs.append(_packed(sig[a:b], c, k[local[a] : local[b - 1] + 1], h[local[a] : local[b - 1] + 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype("i4")), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+        for some_keys, some_hs, texts in rows(batches, "key", "h", "text"):
             at = 0
             while at < len(texts):
                 to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to]) < 2_000_000):
+                while to < len(texts) and (to == at or chars + len(texts[to]) < 1_000_000):
                     chars += len(texts[to])
                     to += 1
                 split = [t.split("\n") for t in texts[at:to]]
@@ -192,97 +263,151 @@ def removed_lines(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_toke
                 cls, n, sketch, sig, line, place = prefixes(words, of, int(n_of.sum()), rarity.value, join)
                 take = n[line] >= min_tokens
                 sig, line, place = sig[take], line[take], place[take]
-                some = np.flatnonzero(n >= min_tokens)
-                doc = np.repeat(np.arange(to - at), n_of)
+                doc = np.repeat(np.arange(len(keys), len(keys) + to - at), n_of)
                 number = np.arange(len(doc)) - np.repeat(np.cumsum(n_of) - n_of, n_of)
-                # n fits 32 bits; places too, as they are less
-                for x, y in zip(held, (sig, cls[line], n[line].astype("<u4"), place.astype("<u4"), sketch[line], cls[some], np.array(keys[at:to], "<i8")[doc[some]], np.array(hs[at:to], "<i8")[doc[some]], number[some].astype("<u4"), n[some].astype("<u4")), strict=True):
-                    x.append(y)
-                size += len(sig) + len(some)
+                keys += some_keys[at:to]
+                hs += some_hs[at:to]
+                # n fits 32 bits; places and numbers too
+                held.append((sig, cls[line], n[line].astype("<u4"), place.astype("<u4"), number[line].astype("<u4"), sketch[line, 0], sketch[line, 1].astype("<u4"), doc[line].astype("<u4")))
+                size += len(sig)
                 at = to
-                if size > 2_000_000:
+                if size > flush:
                     yield from out()
-                    size = 0
+                    keys, hs, size = [], [], 0
         if size:
             yield from out()
 
-    schema = "kind int, a long, b long, key long, h long, number long"
-
-    names = ["kind", "a", "b", "key", "h", "number"]
-
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[bytes]] = {}
-        for part, blobs in rows(batches, "part", "blob"):
-            for p, b in zip(part, blobs, strict=True):
-                by.setdefault(p, []).append(b)
-        for p in list(by):
-            cols: list[list[np.ndarray]] = [[] for _ in range(11)]
-            for b in by.pop(p):
-                n_sig, n_home, wide = np.frombuffer(b, "<u4", 3).astype(int)
-                at = 12
-                for k, (kind, size) in enumerate([("u1", 5 * n_sig), ("<i8", n_sig), (f"<u{wide}", n_sig), (f"<u{wide}", n_sig), ("<u8", n_sig), ("<u4", n_sig), ("<i8", n_home), ("<i8", n_home), ("<i8", n_home), ("<u4", n_home), ("<u4", n_home)]):
-                    x = np.frombuffer(b, kind, size, at)
-                    at += x.nbytes
-                    if k == 0:
-                        full = np.zeros((n_sig, 8), np.uint8)
-                        full[:, :5] = x.reshape(-1, 5)
-                        x = full.view("<u8")[:, 0]
-                    cols[k].append(x)
-            sig, s_cls, s_n, place, low, high, cls, key, h, number, _ = (np.concatenate(x) for x in cols)
-            a, b = _pairs(sig, s_cls, s_n, place, np.stack([low, high.astype(U)], axis=1), join)
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), PAIR), pa.int32()), pa.array(a), pa.array(b), none, none, none], names)
-            order = np.lexsort((number, h, key, cls))
-            cls, key, h, number = cls[order], key[order], h[order], number[order].astype(np.int64)
-            start = _runs(cls)
-            run = np.repeat(start, np.diff(np.append(start, len(cls))))
+        blobs: dict[int, list[bytes]] = {}
+        for part, some in rows(batches, "part", "blob"):
+            for p, b in zip(part, some, strict=True):
+                blobs.setdefault(p, []).append(b)
+        for p in list(blobs):
+            col = _unpacked(blobs.pop(p))
+            home = np.flatnonzero(col["place"] == 0)  # all copies of a class are here by their rarest token
+            home = home[np.lexsort(tuple(col[c][home] for c in ("number", "h", "key", "cls")))]
+            start = _runs(col["cls"][home])
+            first = np.repeat(home[start], np.diff(np.append(start, len(home)))) if len(home) else home
             # equal rows have the same place twice: it goes or stays as one
-            gone = (key != key[run]) | (h != h[run]) | (number != number[run])
-            kind = np.where(gone, GONE, FIRST)
-            keep = np.flatnonzero(gone | (run == np.arange(len(run))))
-            for k in range(0, len(keep), 100_000):
-                o = keep[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(kind[o], pa.int32()), pa.array(cls[o]), pa.nulls(len(o), pa.int64()), pa.array(key[o]), pa.array(h[o]), pa.array(number[o])], names)
-
-    found = written(docs.mapInArrow(emit, "part int, blob binary").repartitionById(parts, F.col("part")).mapInArrow(reduce, schema))
-    first = found.where(f"kind = {FIRST}").select(F.col("a").alias("cls"), "key", "h", "number")
-    pairs = written(found.where(f"kind = {PAIR}").select("a", "b").distinct())
-    linked = written(_verified(docs, first, pairs, join))
-    one, other = (first.select(F.col("cls").alias(c), F.struct("key", "h", "number").alias(f"at_{c}")) for c in "ab")
-    met = linked.join(one, "a").join(other, "b")
-    later = met.select(F.greatest("at_a", "at_b").alias("at")).select("at.*")
+            gone = home[np.logical_or.reduce([col[c][home] != col[c][first] for c in ("key", "h", "number")])]
+            yield from _found(GONE, key=col["key"][gone], h=col["h"][gone], number=col["number"][gone])
+            # the first of each class; tokens that only one class has are done
+            order = np.lexsort(tuple(col[c] for c in ("number", "h", "key", "cls", "sig")))
+            sig, cls = col["sig"][order], col["cls"][order]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
+            order, sig = order[fresh], sig[fresh]
+            start = _runs(sig)
+            length = np.diff(np.append(start, len(sig)))
+            much = np.repeat(length, length) if len(sig) else length
+            yield from _met({c: x[order[(much > 1) & (much <= run)]] for c, x in col.items()}, join, parts)
+            for k in np.flatnonzero(length > run):
+                o = order[start[k] : start[k] + length[k]]
+                o = o[np.lexsort((col["cls"][o], col["n"][o]))]
+                cuts = [o[x : x + run // 2] for x in range(0, len(o), run // 2)]
+                for b, some in enumerate(cuts):
+                    c = {name: x[some] for name, x in col.items()}
+                    blob = _packed(c["sig"] << U(16), c | {"doc": np.arange(len(some))}, c["key"], c["h"])
+                    # a pair of blocks whose sizes are too far apart is never made
+                    last = next((x for x in range(len(cuts) - 1, b, -1) if int(col["n"][cuts[x][0]]) * join.p <= int(c["n"][-1]) * join.q), b)
+                    first_ = next((x for x in range(b) if int(c["n"][0]) * join.p <= int(col["n"][cuts[x][-1]]) * join.q), b)
+                    yield from _found(HOT, a=np.array([p << 40 | int(sig[start[k]]) & (1 << 40) - 1]), b=np.array([b]), number=np.array([first_]), last=np.array([last]), blob=np.array([blob], object))
+
+    def across(key: tuple, t: pa.Table) -> pa.Table:
+        cols = [_unpacked([x]) for x in t["blob"].to_pylist()]
+        side = np.repeat(np.arange(len(cols)), [len(c["sig"]) for c in cols]) if len(cols) > 1 else None
+        return pa.Table.from_batches(list(_met({c: np.concatenate([x[c] for x in cols]) for c in cols[0]}, join, parts, side)), pa.schema(list(zip(NAMES, TYPES, strict=True))))
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list[bytes]] = {}
+        for part, some in rows(batches, "a", "blob"):
+            for p, b in zip(part, some, strict=True):
+                blobs.setdefault(p, []).append(b)
+        for p in list(blobs):
+            pairs = _distinct([np.frombuffer(x, "<i8").reshape(len(PAIRS), -1) for x in blobs.pop(p)])
+            for at in range(0, pairs.shape[1], 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in pairs], PAIRS)
+
+    found = written(docs.mapInArrow(emit, "part int, blob binary").repartitionById(parts, F.col("part")).mapInArrow(reduce, FOUND))
+    pairs = found.where(f"kind = {PAIR}")
+    hot = found.where(f"kind = {HOT}")
+    if not hot.isEmpty():
+        sent = hot.select(F.col("a").alias("token"), F.col("b").alias("mine"), F.explode(F.sequence("number", "last")).alias("other"), "blob")
+        sent = sent.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "blob")
+        pairs = pairs.unionByName(sent.repartition(parts, "token", "i", "j").groupBy("token", "i", "j").applyInArrow(across, FOUND))
+    pairs = written(pairs.select("a", "blob").repartitionById(parts, F.col("a").cast("int")).mapInArrow(distinct, ", ".join(f"{c} long" for c in PAIRS)))
+    later = written(_verified(docs, pairs, join, parts))  # its shuffle of the texts is gone before the caller's
     return found.where(f"kind = {GONE}").select("key", "h", "number").union(later).groupBy("key", "h").agg(F.collect_set("number").alias("gone"))
 
 
-def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, join: Join, block: int = 8_192) -> DataFrame:
-    """a, b: the pairs of classes whose first lines are linked; lines go once to each block of their component."""
-    spark = docs.sparkSession
-    reach = components(pairs)
-    size = reach.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    place = cut(reach.join(size, "root").select(F.col("node").alias("cls"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
-    wanted = place.join(first, "cls").groupBy("key", "h").agg(F.sort_array(F.collect_list(F.struct("number", "cls", "root", "blocks", "block"))).alias("some"))  # of one document
-    # the lines are cut out before they are spread, each by itself; equal rows give the same lines, of which a group takes one
-    line = F.split("text", "\n", -1)
-    cut_out = docs.join(wanted, ["key", "h"]).select(F.explode(F.transform("some", lambda x: F.struct(x["cls"].alias("cls"), x["root"].alias("root"), x["blocks"].alias("blocks"), x["block"].alias("block"), F.element_at(line, (x["number"] + 1).cast("int")).alias("text")))).alias("s")).select("s.*")
-    sent = cut_out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    of_a = place.select(F.col("cls").alias("a"), "root", F.col("block").alias("ba"))
-    of_b = place.select(F.col("cls").alias("b"), F.col("block").alias("bb"))
-    asked = pairs.join(of_a, "a").join(of_b, "b").select("root", F.least("ba", "bb").alias("i"), F.greatest("ba", "bb").alias("j"), "a", "b", F.lit(None).cast("string").alias("text"))
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        text, a, b = t["text"].to_pylist(), t["a"].to_pylist(), t["b"].to_pylist()
-        at = [k for k, x in enumerate(b) if x is None]
-        sets = {a[k]: s for k, s in zip(at, token_sets([text[k] for k in at]), strict=True)}
-        out: tuple[list, list] = ([], [])
-        for x, y in zip(a, b, strict=True):
-            if y is not None:
-                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if join.q * common >= join.p * (len(sets[x]) + len(sets[y]) - common):
-                    out[0].append(x)
-                    out[1].append(y)
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
-
-    return sent.union(asked).repartition(parallelism(spark), "root", "i", "j").groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
+def _verified(docs: DataFrame, pairs: DataFrame, join: Join, parts: int, block: int = 8_192) -> DataFrame:
+    """key, h, number of the later line of each pair that is linked; first lines go once to each block of their component."""
+    root = components(pairs).select(F.col("node").alias("a"), "root")
+    size = root.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    here = F.struct("key", "h", "number")
+    there = F.struct(F.col("key2").alias("key"), F.col("h2").alias("h"), F.col("number2").alias("number"))
+    block_of = [F.pmod(F.xxhash64(c), F.col("blocks")).cast("int") for c in "ab"]
+    placed = cut(pairs.join(root.join(size, "root"), "a").select("root", "blocks", "a", "b", here.alias("at_a"), there.alias("at_b"), block_of[0].alias("ba"), block_of[1].alias("bb")))
+    nodes = placed.select("root", "blocks", F.col("a").alias("cls"), F.col("ba").alias("block"), "at_a.*").union(placed.select("root", "blocks", "b", "bb", "at_b.*")).distinct()
+    wanted = nodes.groupBy("key", "h").agg(F.collect_list(F.struct("number", "cls", "root", "blocks", "block")).alias("some"))  # of one document
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = b.column(1)
+            edge, flat = some.offsets.to_numpy(), some.flatten()
+            edge = edge - edge[0]
+            col = {c: flat.field(c).to_numpy() for c in ("number", "cls", "root", "blocks", "block")}
+            out: list[str] = []
+            for k in range(b.num_rows):
+                lines = b.column(0)[k].as_py().split("\n")
+                out += [lines[i] for i in col["number"][edge[k] : edge[k + 1]]]
+            yield pa.RecordBatch.from_arrays([pa.array(col["root"]), pa.array(col["blocks"]), pa.array(col["block"]), pa.array(col["cls"]), pa.array(out, pa.string())], ["root", "blocks", "block", "a", "text"])
+
+    lines = docs.join(wanted, ["key", "h"]).select("text", "some").mapInArrow(cut_out, "root long, blocks int, block int, a long, text string")
+    sent = lines.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "a", F.lit(None).cast("long").alias("b"), "text", *[F.lit(None).cast("long").alias(c) for c in ("key", "h", "number")])
+    asked = placed.select("root", F.least("ba", "bb").alias("i"), F.greatest("ba", "bb").alias("j"), "a", "b", F.lit(None).cast("string").alias("text"), F.greatest("at_a", "at_b").alias("at")).select("root", "i", "j", "a", "b", "text", "at.*")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, asks = [], [], [np.zeros((5, 0), np.int64)]
+        for x in batches:
+            line = x.column(1).is_null()
+            of = x.filter(line)
+            ids.append(of.column(0).to_numpy())
+            texts += of.column(2).to_pylist()
+            pair = x.filter(x.column(1).is_valid())
+            asks.append(np.stack([pair.column(k).to_numpy() for k in (0, 1, 3, 4, 5)]))
+        if not texts:
+            return
+        # equal rows, and blocks of one component that meet here, give a line twice
+        cls, at = np.unique(np.concatenate(ids), return_index=True)
+        words, of = word_hashes([texts[k] for k in at])
+        del texts
+        words, of = words[(o := np.lexsort((words, of)))], of[o]
+        fresh = np.ones(len(words), bool)
+        fresh[1:] = (words[1:] != words[:-1]) | (of[1:] != of[:-1])
+        words, of = np.unique(words[fresh], return_inverse=True)[1], of[fresh]
+        n = np.bincount(of, minlength=len(cls))
+        edge = np.append(0, np.cumsum(n))
+        a, b, *where = np.concatenate(asks, axis=1)
+        a, b = np.searchsorted(cls, a), np.searchsorted(cls, b)
+        both, lo = np.cumsum(n[a] + n[b]), 0
+        while lo < len(a):
+            hi = max(lo + 1, int(np.searchsorted(both, (both[lo - 1] if lo else 0) + 2_000_000, "right")))
+            got = np.concatenate([_spread(edge, n, x[lo:hi], words) for x in (a, b)])
+            got.sort()
+            common = np.bincount(got[1:][got[1:] == got[:-1]] >> 32, minlength=hi - lo)
+            ok = lo + np.flatnonzero(join.q * common >= join.p * (n[a[lo:hi]] + n[b[lo:hi]] - common))
+            yield pa.RecordBatch.from_arrays([pa.array(w[ok]) for w in where], ["key", "h", "number"])
+            lo = hi
+
+    return sent.union(asked).repartition(parts, "root", "i", "j").select("a", "b", "text", "key", "h", "number").mapInArrow(verify, "key long, h long, number long")
+
+
+def _spread(edge: np.ndarray, n: np.ndarray, which: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The numbers of the words of some sets one after another, below the place of each in which."""
+    m = n[which]
+    at = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(edge[which], m)
+    return np.repeat(np.arange(len(which), dtype=np.int64), m) << 32 | words[at]
 
 
 def dedup(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_tokens: int = 5) -> DataFrame:
@@ -302,9 +427,19 @@ def dedup(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_tokens: int
     names = docs.columns
     rows_ = docs.withColumn("__qf_key", key).withColumn("__qf_h", F.xxhash64("text"))
     got = rows_.join(gone.toDF("__qf_key", "__qf_h", "__qf_gone"), ["__qf_key", "__qf_h"], "left")
-    lines = F.split("text", "\n", -1)
     some = F.col("__qf_gone").isNotNull()
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__qf_gone", i.cast("long"))), "\n")
+
+    @F.arrow_udf("string")
+    def without(text: pa.Array, gone: pa.Array) -> pa.Array:
+        out = []
+        for t, g in zip(text.to_pylist(), gone.to_pylist(), strict=True):
+            if t is not None:
+                g = set(g)
+                t = "\n".join([x for k, x in enumerate(t.split("\n")) if k not in g])
+            out.append(t)
+        return pa.array(out, pa.string())
+
+    kept = without(F.when(some, F.col("text")), "__qf_gone")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     return got.select(*[F.when(some, kept).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in names], n.alias("n_lines"), F.coalesce(F.size("__qf_gone"), F.lit(0)).cast("long").alias("n_removed"))
 

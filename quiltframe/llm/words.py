@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 
 U = np.uint64
 _STEP = 1 << 20
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+#: Words of more bytes are hashed one by one.
+_LONG = 128
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -16,30 +19,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-@lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    value = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-    value[65:91] = value[97:123]  # A-Z as a-z
-    space = np.zeros(256, bool)
-    space[[9, 10, 11, 12, 13, 32]] = True
-    r = 0x5851F42D4C957F2D
-    inverse = pow(r, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        powers = np.concatenate([[U(1)], np.cumprod(np.full(_STEP, r, U))])
-        back = np.concatenate([[U(1)], np.cumprod(np.full(_STEP, inverse, U))])
-    return value, space, powers, back
+def _spaces(raw: np.ndarray) -> np.ndarray:
+    return (raw == 32) | ((raw - np.uint8(9)) < 5)
 
 
 def _hash(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    value, space, powers, back = _tables()
-    gap = space[raw]
-    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-    start, end = (edge[0::2], edge[1::2]) if gap[0] else (np.concatenate([[0], edge[1::2]]), edge[0::2])
-    if len(end) < len(start):
-        end = np.append(end, len(raw))
-    total = np.zeros(len(raw) + 1, U)
-    np.cumsum(value[raw] * powers[: len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * back[start] ^ (end - start).astype(U) * U(0x2545F4914F6CDD1D)), start
+    """Hashes of the words of some bytes, and where each begins; eight bytes of all words are mixed in at a time."""
+    lower = np.zeros(len(raw) + 8, np.uint8)
+    np.bitwise_or(raw, ((raw - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5), out=lower[: len(raw)])  # A-Z as a-z
+    gap = np.ones(len(raw) + 2, bool)
+    gap[1:-1] = _spaces(raw)
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    start, end = edge[0::2], edge[1::2]
+    size = end - start
+    eight = np.ndarray((len(raw),), "<u8", lower, strides=(1,))
+    h = mix((eight[start] & _MASKS[np.minimum(size, 8)]) ^ size.astype(U) * U(0x2545F4914F6CDD1D))
+    left = np.flatnonzero((size > 8) & (size <= _LONG))
+    for at in range(8, _LONG, 8):
+        if not len(left):
+            break
+        h[left] = mix((h[left] + U(0x9E3779B97F4A7C15)) ^ (eight[start[left] + at] & _MASKS[np.minimum(size[left] - at, 8)]))
+        left = left[size[left] > at + 8]
+    for k in np.flatnonzero(size > _LONG):
+        h[k] = int.from_bytes(blake2b(lower[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return h, start
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,10 +57,10 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         while to < len(raw) and (to == at or size + len(raw[to]) + 1 < _STEP):
             size += len(raw[to]) + 1
             to += 1
-        if size > _STEP:  # one long text, cut where white space allows; a word beyond that is hashed by itself
-            h = _long(raw[at])
-            out.append(h)
-            of.append(np.full(len(h), at))
+        if size > _STEP:  # one long text, cut where white space allows
+            for part in _slices(np.frombuffer(raw[at], np.uint8)):
+                out.append(_hash(part)[0])
+                of.append(np.full(len(out[-1]), at))
         elif size > to - at:
             h, start = _hash(np.frombuffer(b"\n".join(raw[at:to]), np.uint8))
             ends = np.cumsum([len(r) + 1 for r in raw[at:to]])
@@ -69,26 +72,16 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(of)
 
 
-def _long(raw: bytes) -> np.ndarray:
-    parts, at = [], 0
-    space = _tables()[1]
-    data = np.frombuffer(raw, np.uint8)
-    while at < len(data):
-        to = min(at + _STEP, len(data))
-        if to < len(data) and not space[data[to]]:
-            gaps = np.flatnonzero(space[data[at:to]])
+def _slices(raw: np.ndarray) -> list[np.ndarray]:
+    """Pieces of about _STEP bytes that end at white space, however far that is."""
+    cuts = [0]
+    while cuts[-1] < len(raw):
+        to = cuts[-1] + _STEP
+        while to < len(raw):
+            gaps = np.flatnonzero(_spaces(raw[to : to + _STEP]))
             if len(gaps):
-                to = at + int(gaps[-1]) + 1
-            else:  # a word of more than a megabyte: its pieces' hashes, folded
-                later = np.flatnonzero(space[data[to:]])
-                end = to + int(later[0]) if len(later) else len(data)
-                fold = np.zeros(1, U)
-                for k in range(at, end, _STEP):
-                    fold = mix(fold ^ _hash(data[k : min(k + _STEP, end)])[0][:1])
-                parts.append(fold)
-                at = end
-                continue
-        h = _hash(data[at:to])[0] if to > at else np.zeros(0, U)
-        parts.append(h)
-        at = to
-    return np.concatenate(parts) if parts else np.zeros(0, U)
+                to += int(gaps[0]) + 1
+                break
+            to += _STEP
+        cuts.append(min(to, len(raw)))
+    return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]

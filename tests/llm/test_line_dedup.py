@@ -1,5 +1,7 @@
 import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from quiltframe.llm import op1_line_dedup as op
 from quiltframe.llm.registry import QUERIES
@@ -101,3 +103,21 @@ def test_all_lines_with_words_when_asked(spark):
         want[i] = "\n".join(keep)
     got = op.dedup(spark.createDataFrame(docs, "doc_id long, text string"), min_tokens=1).collect()
     assert {r.doc_id: r.text for r in got} == want
+
+
+@pytest.mark.parametrize("run", [4_096, 16, 7])
+def test_tokens_of_many_lines(spark, run):
+    """Runs beyond the bound are cut into blocks; no link is lost."""
+    g = np.random.default_rng(7)
+    docs = corpus()
+    for i in range(100, 200):
+        lines = []
+        for _ in range(3):
+            b = [f"b{k}" for k in range(int(g.integers(12, 31)))]
+            for _ in range(int(g.integers(0, 5))):
+                b[int(g.integers(len(b)))] = f"b{g.integers(60)}"
+            lines.append(" ".join(b))
+        docs.append((i, "\n".join(lines)))
+    keyed = spark.createDataFrame(docs, "key long, text string").select("key", F.xxhash64("text").alias("h"), "text")
+    gone = {r.key: set(r.gone) for r in op.removed_lines(keyed, run=run).collect()}
+    assert {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in docs} == brute(docs)
