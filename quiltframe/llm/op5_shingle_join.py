@@ -395,8 +395,7 @@ def _prices(docs: DataFrame, width: int, sample: int, salt: int) -> Prices:
     got = chosen.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # of the sample alone
     k, of = got["k"].to_numpy().astype(U), got["n"].to_numpy()
     order = np.argsort(k)
-    words = counts(docs)
-    n_words = int((2.0 ** ((words[words > 0].astype(float) - 1) / 7)).sum())
+    words, n_words = counts(docs)
     return Prices(words, n_words, k[order], (8 * np.log2(np.maximum(of[order] / share, 1))).astype(np.int64))
 
 
@@ -562,8 +561,11 @@ def similar(docs: DataFrame, threshold: tuple[int, int] = (3, 5), width: int = 2
     many documents price the signatures. Equal sets are one class with a
     weight from the first shuffle on, so copies make no pairs. Shingles and
     sets go by 64-bit hashes. Null texts and texts without words have no
-    shingle and link with nothing; doc_id must not be null and should be unique
-    (rows that share one count as one another's copies). An empty table gives no rows.
+    shingle and link with nothing. Rows without doc_id can't be named: they link
+    with nothing and come back with null n_shingles and component_id, and
+    n_similar 0. doc_id should be unique (rows that share one count as one
+    another's copies). Very long texts are read whole, in slices of bounded
+    memory. An empty table gives no rows.
 
     1. Each task turns texts into sets and sets into signatures (see
        :func:`signatures`), packed into one blob for each partition of the shuffle.
@@ -574,6 +576,8 @@ def similar(docs: DataFrame, threshold: tuple[int, int] = (3, 5), width: int = 2
     """
     join = Join(*threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    nameless = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_similar"), F.lit(None).cast("long").alias("component_id"))
+    docs = docs.where("doc_id is not null")
     grid = max(8, math.ceil(math.sqrt(docs.count() / 10_000)))
     salt, found = 0, None
     while found is None:
@@ -588,7 +592,7 @@ def similar(docs: DataFrame, threshold: tuple[int, int] = (3, 5), width: int = 2
     known = classes.join(others, "rep", "left").join(reach.select(F.col("node").alias("rep"), "root"), "rep", "left").select("cls", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("root", "rep").alias("root"))
     each = found.where(f"kind = {DOC}").select(F.col("x").alias("doc_id"), F.col("y").alias("cls"), F.col("n").alias("n_shingles"))
     some = F.col("n_shingles") > 0
-    return each.join(known, "cls").select("doc_id", "n_shingles", F.when(some, F.col("links")).otherwise(0).cast("long").alias("n_similar"), F.when(some, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
+    return nameless.union(each.join(known, "cls").select("doc_id", "n_shingles", F.when(some, F.col("links")).otherwise(0).cast("long").alias("n_similar"), F.when(some, F.col("root")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
 def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:

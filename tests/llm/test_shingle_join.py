@@ -94,3 +94,9 @@ def test_sql(spark):
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     want = sorted(con.execute(f"select doc_id, n_shingles, n_similar, component_id from ({op.SQL})").fetchall())
     assert sorted(tuple(r) for r in QUERIES["op5_shingle_join"](spark, sf).collect()) == want
+
+
+def test_documents_without_id(spark):
+    docs = [(2, "a b c"), (1, "a b c"), (None, "a b c"), (None, None)]
+    got = sorted((tuple(r) for r in op.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 2, 1, 1), (2, 2, 1, 1), (None, None, 0, None), (None, None, 0, None)], key=str)
