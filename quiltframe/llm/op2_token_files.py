@@ -16,6 +16,8 @@ from quiltframe.llm.common import chunked, parallelism, rows, shared_folder, tab
 #: A shard is three flat files: <name>.bin with the ids (little-endian unsigned 16-bit if the vocabulary
 #: allows, which .idx tells), <name>.idx with 64-bit offsets (one more than documents), <name>.key with 64-bit keys.
 MAGIC = b"QFTOK001"
+#: The key of documents without doc_id; no other document may have it.
+NO_KEY = -(2**63)
 
 
 def _filesystem(uri: str):
@@ -70,8 +72,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     Gives (shard, first token, documents, tokens) for each shard: the first
     tokens are prefix sums over the shards. One shard is one range of doc_id,
     so the order needs one range shuffle of the texts. end_id closes each
-    document. Null texts are empty; rows without doc_id are refused; equal
-    doc_ids lie side by side, ordered by text.
+    document. Null texts are empty; rows without doc_id come first, under
+    :data:`NO_KEY`; equal doc_ids lie side by side, ordered by text. A very long
+    text is encoded whole. An empty table gives shards without documents.
     """
     path = path or bpe.default_path("byte_bpe_50k.json")
     spark = docs.sparkSession
@@ -85,9 +88,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
 
         def ids() -> Iterator[bytes]:
             for k, texts in rows(batches, "doc_id", "text"):
-                if None in k:
-                    raise ValueError("a document has no doc_id")
-                keys.extend(k)
+                keys.extend(NO_KEY if x is None else x for x in k)
                 for (t,) in chunked(500, texts):
                     for raw in enc.encode(t):
                         yield raw + end
@@ -115,7 +116,7 @@ def read_tokens(spark: SparkSession, folder: str, shards: list[tuple[str, int, i
                 for at in range(0, len(keys), 10_000):
                     to = min(at + 10_000, len(keys))
                     crc = [u32crc(ids[int(offsets[i]) : int(offsets[i + 1])]) for i in range(at, to)]
-                    yield pa.RecordBatch.from_pydict({"doc_id": np.array(keys[at:to], "i8"), "start": starts[at:to], "n_tokens": np.diff(offsets[at : to + 1]).astype("i8"), "ids_crc32": np.array(crc, "i8")})
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(k := np.array(keys[at:to], "i8"), mask=k == NO_KEY), "start": starts[at:to], "n_tokens": np.diff(offsets[at : to + 1]).astype("i8"), "ids_crc32": np.array(crc, "i8")})
 
     kept = [(name, first) for name, first, n, _ in shards if n]
     named = spark.createDataFrame(kept, "name string, first long").repartition(max(1, len(kept)), "name")

@@ -76,3 +76,11 @@ def test_files(spark, tmp_path, shards):
 def test_files_of_nothing(spark, tmp_path):
     made = write_tokens(docs(spark, []), f"file://{tmp_path}/y")
     assert read_tokens(spark, f"file://{tmp_path}/y", made).count() == 0
+
+
+def test_files_of_documents_without_id(spark, tmp_path):
+    df = spark.createDataFrame([(3, "c c"), (None, "b"), (None, "a"), (-4, None)], "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in read_tokens(spark, f"file://{tmp_path}/z", write_tokens(df, f"file://{tmp_path}/z", shards=2)).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None, None, -4, 3]
+    t = Tokenizer.from_file(BYTE)
+    assert [r[3] for r in got] == [zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4").tobytes()) for x in ("a", "b", "", "c c")]
