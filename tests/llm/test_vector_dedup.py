@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from quiltframe.llm import components as comp
-from quiltframe.llm.op9_vector_dedup import near
+from quiltframe.llm.op9_vector_dedup import Tree, near
 from quiltframe.llm.registry import QUERIES
 
 
@@ -44,6 +44,27 @@ def test_links(spark, cell):
     assert near(df.limit(0)).count() == 0
 
 
+def test_repeated_ids(spark):
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (6, [1.0, 0.01], 1), (7, [1.0, 0.02], 1), (5, [1.0, 0.0], 1), (8, [1e200, 1e198], 1), (9, [0.0, 2.0], 2)]
+    df = spark.createDataFrame([*rows, (None, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
+    got = sorted((tuple(r) for r in near(df).collect()), key=str)
+    # a component is of vectors; its id is the least vec_id, which here both of two components have
+    assert got == sorted([(5, 4, 5, True), (5, 4, 5, True), (5, 0, 5, True), (6, 4, 5, False), (7, 4, 5, False), (8, 4, 5, False), (9, 0, 9, True), (None, 0, None, True)], key=str)
+
+
+def test_cells_hold_all_that_may_link():
+    g = np.random.default_rng(3)
+    x = g.normal(size=(3_000, 5))
+    x = np.concatenate([x, x[:500] + g.normal(size=(500, 5)) * 0.05])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    i, cell, native = Tree(x[:60]).cells(x, 0.2)
+    assert np.bincount(i[native], minlength=len(x)).tolist() == [1] * len(x)
+    held = set(zip(i.tolist(), cell.tolist()))
+    home = dict(zip(i[native].tolist(), cell[native].tolist()))
+    a, b = np.nonzero(np.linalg.norm(x[:, None] - x[None], axis=2) <= 0.2)
+    assert len(a) > 2 * len(x) and all((q, home[p]) in held for p, q in zip(a.tolist(), b.tolist()))
+
+
 @pytest.mark.parametrize("edges", [0, 10**6])
 def test_components(spark, monkeypatch, edges):
     monkeypatch.setattr(comp, "DRIVER_EDGES", edges)
