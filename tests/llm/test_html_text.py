@@ -1,6 +1,11 @@
+import random
+import time
+from html.parser import HTMLParser
+
+import pyarrow.parquet as pq
 import pytest
 
-from quiltframe.llm.op3_html_text import extract, main_text
+from quiltframe.llm.op3_html_text import extract, main_text, surges
 
 LONG = "Words of the article that go on for a while, so that the block is long enough to matter."
 CASES = {
@@ -32,6 +37,75 @@ def test_classes_do_not_empty_an_article(name):
     assert main_text(f"<div class='{name}' hidden><p>{LONG}</p></div>") == ""
 
 
+def test_pages_of_odd_frames():
+    two = f"<p>{LONG}</p><p>{LONG}</p>"
+    want = f"{LONG}\n\n{LONG}"
+    assert main_text(f"<html><head><meta charset=utf-8><title>no</title><body>{two}") == want
+    assert main_text(f"<html><head><title>no</title>{two}") == want
+    assert main_text(f"<div class='layout has-sidebar'>{two}</div>") == want
+    assert main_text(f"<div class='post comments-open'>{two}</div>") == want
+    assert main_text(f"<form><nav><a>x</a></nav>{two}<div class=ad>{LONG}</div></form>") == want
+    assert main_text(f"<article>{two}<section id='related-work'><p>Works.</p></section></article>") == want + "\n\nWorks."
+    assert main_text(f"<article><p>teaser</p></article><div>{two}</div>") == "teaser\n\n" + want
+    assert main_text(f"<main><form>{two}</form></main><div class=ad>{LONG}</div>") == want
+    assert main_text(f"<article></article><div class=comments>{two}</div>") == main_text(f"<main> </main><form>{two}</form>") == ""
+    assert main_text(f"<article><p>short</p></article><div>tagline</div><div class=comments>{two}</div>") == "short"
+
+
+@pytest.mark.parametrize("page", ["<ul>" * 20_000 + "<b>x</b>" * 20_000, "<span class=ad>x" * 12_000, "<title " * 28_000, "<a '" * 50_000, '<p title="' * 20_000, "<div class=ad><article>" * 9_000, "<p><div>" + "<center>" * 25_000, "<!-- " * 40_000, "</ " * 60_000, "<" * 200_000, "<script>" * 25_000, "&amp" * 50_000, "<a b='\"<" * 20_000])
+def test_time_is_linear(page):
+    began = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - began < 4  # 200 kB take less than a second each; the machine may be busy
+
+
+def slow_surges(size, window, surge):
+    """Straight from the definition, sum by sum."""
+    keep, on = [], False
+    for i in range(len(size)):
+        s = sum(size[i : i + window])
+        on = (on and s > 0) or (s > surge and size[i] > 0)
+        if on and size[i]:
+            keep.append(i)
+    return keep
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_distribution_against_brute_force(seed):
+    g = random.Random(seed)
+    size = [g.choice([0, 0, 0, 5, 30, 90, 300]) for _ in range(400)]
+    for window in (1, 3, 5):
+        for surge in (0, 80, 200):
+            assert surges(size, [False] * len(size), window, surge) == slow_surges(size, window, surge)
+    page = "".join(f"<div>{'x' * s}</div>" if s else "<div class=ad>menu</div>" for s in size)
+    assert main_text(page).split("\n\n") == ["x" * size[i] for i in slow_surges(size, 3, 80)]
+
+
+def test_table():
+    """Pages of the table are of one layout: all between article's tags, by an independent parser."""
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.blocks, self.inside = [""], False
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            self.blocks += [""] * (tag in ("p", "h1", "article"))
+            self.blocks[-1] += " " * (tag == "br")
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            self.blocks += [""] * (tag in ("p", "h1"))
+
+        def handle_data(self, data):
+            self.blocks[-1] += data * self.inside
+
+    for html in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist():
+        p = Article()
+        p.feed(html or "")
+        assert main_text(html or "") == "\n\n".join(" ".join(b.split()) for b in p.blocks if b.split())
+
+
 def test_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, None, "<p>a", "x"), (None, "u", "<p>" + "é " * 50_000, "x")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in extract(pages).collect())
