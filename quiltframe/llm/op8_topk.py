@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,10 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quiltframe.llm.common import table, written
+from quiltframe.llm.common import parallelism, shared_folder, table, written
 
-#: Impact bits that each step of score-at-a-time adds, from the highest: all but two, then one, then the last.
-STEPS = (2, 1, 0)
+#: Levels of quantised impact: each holds about as many postings.
+LEVELS = 16
+#: Bounds are first tried when so large a share of the postings is added up.
+FIRST = 0.4
+#: What scoring a pair afresh costs, by adding up one of its postings.
+RESCORE = 160
 
 
 def quantised(vectors: DataFrame, scale: float = 64.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -35,102 +40,110 @@ def _matrix(impacts: pa.Array) -> np.ndarray:
     return out
 
 
-def blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """Blocks of at most size vectors: no, vec_ids, dims and impacts, as bytes of 64-bit numbers.
+class Index:
+    """The impact-ordered postings of one block of vectors.
 
-    Rows are dealt to blocks by a hash of their values, salted by how they
-    lie in the table, so that equal keys or vectors crowd no block.
+    A posting is a vector's component, its impact the component's magnitude,
+    quantised to levels. Segments, one for each level and dimension, go by
+    descending level. rest[l] is the length of what each vector has below level l.
     """
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, n, ids, rows_ = TaskContext.get().partitionId(), 0, [], []
-
-        def block() -> pa.RecordBatch:
-            nonlocal n, ids, rows_
-            k = np.concatenate(ids)
-            dims = max(m.shape[1] for m in rows_)
-            x = np.concatenate([np.pad(m, ((0, 0), (0, dims - m.shape[1]))) for m in rows_])
-            out, rest = (k[:size], x[:size]), (k[size:], x[size:])
-            ids, rows_ = ([rest[0]], [rest[1]]) if len(rest[0]) else ([], [])
-            n += 1
-            narrow = np.abs(x).max(initial=0) <= 32_000
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part << 20 | n - 1]), pa.array([out[0].tobytes()], pa.binary()), pa.array([dims]), pa.array([narrow]), pa.array([out[1].astype("<i2" if narrow else "<f8").tobytes()], pa.binary())], ["no", "ids", "dims", "narrow", "impacts"]
-            )
-
-        for b in batches:
-            ids.append(b.column(0).to_numpy())
-            rows_.append(_matrix(b.column(1)))
-            while sum(map(len, ids)) >= size:
-                yield block()
-        while ids and sum(map(len, ids)):
-            yield block()
-
-    return vectors.mapInArrow(pack, "no long, ids binary, dims long, narrow boolean, impacts binary")
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        self.largest = float(np.abs(x).max(initial=0))
+        size = np.abs(x)
+        cuts = np.unique(np.quantile(size[size > 0], np.arange(LEVELS)[::-1] / LEVELS)) if (size > 0).any() else np.zeros(0)
+        self.segments: list[list[tuple[int, np.ndarray, np.ndarray]]] = []
+        self.rest = []
+        upper = np.inf
+        for low in cuts[::-1]:
+            level = (size >= low) & (size < upper)
+            some = []
+            for d in np.flatnonzero(level.any(0)):
+                at = np.flatnonzero(level[:, d])
+                some.append((int(d), at, x[at, d]))
+            self.segments.append(some)
+            self.rest.append(np.sqrt(np.where(size < low, x * x, 0).sum(1)))
+            upper = low
+        self.sizes = [sum(len(at) for _, at, _ in some) for some in self.segments]
+        self.order = np.argsort(ids, kind="stable")
+        self.added = self.rescored = self.pairs = 0  # postings added and pairs scored afresh, of so many pairs
+
+    def top(self, queries: np.ndarray, qids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score) of the k highest scores of each query, ties to the smaller id.
+
+        Score at a time: segment by segment all accumulators of its vectors
+        grow. What is left of a vector changes its score by at most |query|
+        |rest| (Cauchy-Schwarz). The k best so far, scored exactly, give a floor
+        that the k-th score can't be below; vectors whose bound is below that
+        are out, by proof, and the work stops when scoring the possible members
+        afresh costs less than the segments that remain. Ends with exact scores of all possible members.
+        """
+        x, ids, n, m = self.x, self.ids, len(self.ids), len(qids)
+        none = np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.int64)
+        if not n or not m:
+            return none
+        most = max(self.largest, 1) * max(np.abs(queries).max(initial=0), 1) * max(x.shape[1], 1)
+        if most >= 2**53:  # beyond exact doubles: whole numbers of any size, saturated at 64 bits
+            xs, qs = ([[int(v) for v in r] for r in y] for y in (x, queries))
+            exact = [[max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, r, strict=True)))) for r in xs] for q in qs]
+            return _choose(np.array(exact, np.int64).reshape(m, n), qids, ids, k)
+        kind = np.float32 if most < 2**24 else np.float64
+        q = queries.T.astype(kind)  # a row for each dimension
+        acc = np.zeros((n, m), kind)
+        first = np.searchsorted(ids[self.order], qids, "left")
+        last = np.searchsorted(ids[self.order], qids, "right")
+        for i in np.flatnonzero(last > first):
+            acc[self.order[first[i] : last[i]], i] = -np.inf  # never its own answer
+        length = np.linalg.norm(queries, axis=1)
+        total = sum(self.sizes)
+        self.pairs += n * m
+        floor, done = None, 0
+        for level, some in enumerate(self.segments):
+            for d, at, value in some:
+                acc[at] += value.astype(kind)[:, None] * q[d]
+            done += self.sizes[level]
+            self.added += self.sizes[level] * m
+            if done < FIRST * total or n <= k:
+                continue
+            if floor is None:
+                by_query = np.ascontiguousarray(acc.T)
+                best = np.argpartition(by_query, n - k, axis=1)[:, n - k :]
+                exact = np.einsum("ikd,id->ik", x[best], queries)
+                exact[np.isneginf(np.take_along_axis(by_query, best, 1))] = -np.inf
+                floor = exact.min(1)
+                self.rescored += best.size
+                at_least = (floor - 1e-5 * (1 + np.abs(floor) + length * self.rest[level].max())).astype(kind)
+            possible = acc + np.multiply.outer(self.rest[level].astype(kind), length.astype(kind)) >= at_least
+            if np.count_nonzero(possible) * RESCORE <= (total - done) * m:
+                break
+        else:  # all added up: the scores are exact, but for a floor that never was
+            possible = acc >= at_least if floor is not None else np.ones(acc.shape, bool)
+        possible = (possible & ~np.isneginf(acc)).T
+        i, j = np.nonzero(possible)
+        if done == total:
+            score = acc[j, i].astype(np.int64)
+        else:
+            score = np.empty(len(i), np.int64)
+            for at in range(0, len(i), 50_000):
+                some = slice(at, at + 50_000)
+                score[some] = np.einsum("ij,ij->i", queries[i[some]], x[j[some]]).astype(np.int64)
+            self.rescored += len(i)
+        order = np.lexsort((ids[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        take = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[take], j[take], score[take]
 
 
 def top_of_block(queries: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the k highest scores of each query in one block of impacts, ties to the smaller id.
+    """(query, row, score) of the k highest scores of each query in one block of impacts: see :meth:`Index.top`."""
+    return Index(ids, x).top(queries, qids, k)
 
-    An impact is a sum of segments: its high bits, then bit after bit. Step
-    by step the segments of all dimensions add to the accumulators; after each,
-    what is left of a vector can change its score by at most |query| |rest| on
-    either side of the mean (Cauchy-Schwarz). Rows that cannot reach the k-th
-    lower bound are out, by proof; those left are scored exactly at the end.
-    """
-    most = max(np.abs(x).max(initial=0), 1) * max(np.abs(queries).max(initial=0), 1) * max(x.shape[1], 1)
-    if most >= 2**53:  # beyond exact doubles: whole numbers of any size, saturated at 64 bits
-        xs, qs = ([[int(v) for v in r] for r in m] for m in (x, queries))
-        exact = [[max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, r, strict=True)))) for r in xs] for q in qs]
-        score = np.array(exact, np.int64).reshape(len(qs), len(xs))
-        return _choose(score, np.ones(score.shape, bool), qids, ids, k)
-    kind = np.float32 if most < 2**24 else np.float64
-    q = queries.astype(kind)
-    xi = x.astype(np.int64)
-    own = qids[:, None] == ids[None, :]
-    shift = STEPS[0]
-    high = xi >> shift << shift
-    centre = (2**shift - 1) / 2
-    rest = (xi - high) - centre
-    acc = q @ high.T.astype(kind)  # the segments of highest impact, for all rows
-    slack = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rest, axis=1)[None, :].astype(kind)
-    mid = acc + (centre * queries.sum(1))[:, None].astype(kind)
-    lower = np.where(own, -np.inf, mid - slack)
-    kth = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q), -np.inf)
-    margin = 1e-4 * (1 + np.abs(mid).max(initial=0)) if kind is np.float32 else 1e-9 * (1 + np.abs(mid).max(initial=0))
-    possible = (mid + slack >= kth[:, None] - margin) & ~own
-    at_q, at_x = np.nonzero(possible)
-    score = acc[at_q, at_x].astype(np.int64)
-    for step in STEPS[1:]:  # the next segments, for the rows that are left
-        bit = xi >> step & 1
-        gained = np.empty(len(at_q), np.int64)
-        for a in range(0, len(at_q), 200_000):
-            b = slice(a, a + 200_000)
-            gained[b] = np.einsum("ij,ij->i", queries[at_q[b]], bit[at_x[b]]).astype(np.int64) << step
-        score += gained
-        if step:
-            left = (xi & (1 << step) - 1) - (2**step - 1) / 2
-            room = np.linalg.norm(queries, axis=1)[at_q] * np.linalg.norm(left, axis=1)[at_x]
-            mid_q = score + (2**step - 1) / 2 * queries.sum(1)[at_q]
-            order = np.lexsort((-(mid_q - room), at_q))
-            first = np.searchsorted(at_q[order], np.arange(len(q)))
-            enough = np.searchsorted(at_q[order], np.arange(len(q)), "right") - first >= k
-            kth = np.where(enough, (mid_q - room)[order][np.minimum(first + k - 1, len(order) - 1)] if len(order) else -np.inf, -np.inf)
-            stay = mid_q + room >= kth[at_q] - 1e-6 * (1 + np.abs(mid_q))
-            at_q, at_x, score = at_q[stay], at_x[stay], score[stay]
-    order = np.lexsort((ids[at_x], -score, at_q))
-    at_q, at_x, score = at_q[order], at_x[order], score[order]
-    rank = np.arange(len(at_q)) - np.searchsorted(at_q, at_q)
-    take = rank < k
-    return at_q[take], at_x[take], score[take]
-
-
-def _choose(score: np.ndarray, fit: np.ndarray, qids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _choose(score: np.ndarray, qids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out: tuple[list, list, list] = ([], [], [])
     for i in range(len(qids)):
-        rows = np.flatnonzero(fit[i] & (ids != qids[i]))
+        rows = np.flatnonzero(ids != qids[i])
         rows = rows[np.lexsort((ids[rows], -score[i, rows]))[:k]]
         out[0].extend([i] * len(rows))
         out[1].extend(rows)
@@ -138,39 +151,92 @@ def _choose(score: np.ndarray, fit: np.ndarray, qids: np.ndarray, ids: np.ndarra
     return np.array(out[0], int), np.array(out[1], int), np.array(out[2], np.int64)
 
 
-def _unpack(ids: bytes, dims: int, narrow: bool, impacts: bytes, to: int) -> tuple[np.ndarray, np.ndarray]:
-    k = np.frombuffer(ids, "<i8")
-    x = np.frombuffer(impacts, "<i2" if narrow else "<f8").reshape(len(k), dims).astype(np.float64)
-    return k, np.pad(x, ((0, 0), (0, to - dims)))
+def _blocks(vectors: DataFrame, size: int, folder: str) -> DataFrame:
+    """name, n: blocks of at most size vectors, each a file in the shared folder that its readers open by name.
+
+    A retried task writes files of new names; only those whose names come back count.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(folder)
+        ids, held = [], []
+
+        def block(k: int) -> pa.RecordBatch:
+            nonlocal ids, held
+            i = np.concatenate(ids)
+            dims = max(m.shape[1] for m in held)
+            x = np.concatenate([np.pad(m, ((0, 0), (0, dims - m.shape[1]))) for m in held])
+            ids, held = ([i[k:]], [x[k:]]) if k < len(i) else ([], [])
+            name = uuid.uuid4().hex
+            fs.create_dir(root, recursive=True)
+            with fs.open_output_stream(f"{root}/{name}") as f:
+                narrow = np.abs(x[:k]).max(initial=0) <= 32_000
+                f.write(np.array([len(i[:k]), dims, narrow], "<i8").tobytes() + i[:k].astype("<i8").tobytes() + x[:k].astype("<i2" if narrow else "<f8").tobytes())
+            return pa.RecordBatch.from_pydict({"name": [name], "n": [len(i[:k])]})
+
+        for b in batches:
+            ids.append(b.column(0).to_numpy())
+            held.append(_matrix(b.column(1)))
+            while sum(map(len, ids)) >= size:
+                yield block(size)
+        if sum(map(len, ids)):
+            yield block(size)
+
+    return written(vectors.mapInArrow(pack, "name string, n long"))
+
+
+def _open(folder: str, name: str) -> tuple[np.ndarray, np.ndarray]:
+    from pyarrow import fs as pafs
+
+    fs, root = pafs.FileSystem.from_uri(folder)
+    with fs.open_input_file(f"{root}/{name}") as f:
+        raw = f.read()
+    n, dims, narrow = np.frombuffer(raw, "<i8", 3).astype(int)
+    return np.frombuffer(raw, "<i8", n, 24), np.frombuffer(raw, "<i2" if narrow else "<f8", n * dims, 24 + 8 * n).reshape(n, dims).astype(np.float64)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 16_384, query_block: int = 1_024) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 16_384, query_block: int = 512) -> DataFrame:
     """The k rows of vectors of highest integer inner product for each query, exactly: query_id, rank, vec_id, score.
 
-    Both take (vec_id, impacts) as :func:`quantised` gives. Query blocks meet
-    candidate blocks of bounded size; a block pair gives k rows a query, which
-    are merged by query. A row of the query's own vec_id is never its answer; a
-    vec_id that is there twice may be answered twice. Fewer than k rows: all.
-    Vectors of unequal length count as ending in zeros. No vectors: no rows.
+    Both take (vec_id, impacts) as :func:`quantised` gives. Blocks of bounded
+    size are files of the shared folder; only their names are joined, so a task
+    holds one block's index and one block of queries at a time. A block gives k
+    rows a query, which are merged by query. A row of the query's own vec_id is
+    never its answer; a vec_id that is there twice may be answered twice. Fewer
+    than k rows: all. Vectors of unequal length count as ending in zeros. No
+    vectors: no rows.
     """
-    packed, asked = written(blocks(vectors, block)), written(blocks(queries, query_block))
-    names = ["no", "ids", "dims", "narrow", "impacts"]
-    slots = max(1, packed.count())  # of blocks; every query block goes to every slot
-    slot = F.pmod(F.xxhash64("no"), F.lit(slots)).cast("int")
-    sent = asked.select(*[F.col(c).alias(f"q_{c}") for c in names]).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    met = sent.join(packed.select(*[F.col(c).alias(f"c_{c}") for c in names], slot.alias("slot")), "slot")
+    spark = vectors.sparkSession
+    folder = f"{shared_folder(spark)}/impacts-{uuid.uuid4().hex}"
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    packed, asked = _blocks(vectors, block, folder), _blocks(queries, query_block, folder)
+    # queries come in slices, so that few blocks are many tasks; a task makes the index of its block once
+    n = packed.count()
+    slices = max(1, min(asked.count(), -(-4 * parallelism(spark) // max(1, n))))
+    slice_ = F.pmod(F.xxhash64("name"), F.lit(slices)).cast("int")
+    sent = asked.select(F.col("name").alias("asked"), slice_.alias("slice"))
+    met = packed.select("name", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")).join(sent, "slice").repartition(min(60_000, max(1, n * slices)), "name", "slice").sortWithinPartitions("name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, index = None, None
         for b in batches:
             for r in b.to_pylist():
-                dims = max(r["q_dims"], r["c_dims"])
-                qids, q = _unpack(r["q_ids"], r["q_dims"], r["q_narrow"], r["q_impacts"], dims)
-                ids, x = _unpack(r["c_ids"], r["c_dims"], r["c_narrow"], r["c_impacts"], dims)
+                if r["name"] != name:
+                    name, index = r["name"], Index(*_open(folder, r["name"]))
+                qids, q = _open(folder, r["asked"])
+                dims = max(q.shape[1], index.x.shape[1])
+                if index.x.shape[1] < dims:
+                    index = Index(index.ids, np.pad(index.x, ((0, 0), (0, dims - index.x.shape[1]))))
+                q = np.pad(q, ((0, 0), (0, dims - q.shape[1])))
                 for at in range(0, len(qids), 128):
-                    i, j, s = top_of_block(q[at : at + 128], qids[at : at + 128], x, ids, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[at + i]), pa.array(ids[j]), pa.array(s)], ["query_id", "vec_id", "score"])
+                    i, j, score = index.top(q[at : at + 128], qids[at : at + 128], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[at + i]), pa.array(index.ids[j]), pa.array(score)], ["query_id", "vec_id", "score"])
 
-    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = met.select("name", "asked").mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from quiltframe.llm.op8_topk import quantised, top_k, top_of_block
+from quiltframe.llm.op8_topk import Index, quantised, top_k, top_of_block
 
 
 def slow(rows, k):
@@ -37,3 +37,21 @@ def test_rows(spark):
     assert got == slow(rows, 20)
     none = v.limit(0)
     assert top_k(none, none).count() == 0
+
+
+def test_stops_on_proof():
+    """Fewer postings than all are added up, few pairs are scored afresh, and the answers are those of a full product."""
+    g = np.random.default_rng(4)
+    x = g.normal(size=(16_000, 64))
+    x = np.floor(64 * x / np.linalg.norm(x, axis=1)[:, None])
+    ids = g.permutation(16_000).astype("i8")
+    index = Index(ids, x)
+    i, j, s = index.top(x[:100], ids[:100], 20)
+    full = (x[:100] @ x.T).astype("i8")
+    full[np.arange(100), np.arange(100)] = -(10**9)
+    for a in range(100):
+        order = np.lexsort((ids, -full[a]))[:20]
+        assert j[i == a].tolist() == order.tolist() and s[i == a].tolist() == full[a, order].tolist()
+    assert index.added < 0.85 * 64 * index.pairs and index.rescored < 0.2 * index.pairs
+    levels = [[abs(v).min() for _, _, v in some] for some in index.segments]
+    assert all(min(a) > max(abs(v).max() for _, _, v in some) for a, some in zip(levels[:-1], index.segments[1:]))
