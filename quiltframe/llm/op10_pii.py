@@ -85,17 +85,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 # What a pattern misses but the model may label: numbers written otherwise, spelt-out and cut addresses.
-_NUMBER = re.compile(r"(?<![\w.+])\(?[0-9][0-9() .\-/]{5,30}[0-9](?![\w])")
+_NUMBER = re.compile(r"(?<![\w.+])\(?[0-9][0-9() .\-/]*[0-9](?![\w])")
 #: Parts of a run of digits that is too long for a pattern, as where a phone and a card number follow one another.
 _GROUPED = re.compile(r"(?<![\w.+])\+?(?:[0-9]{1,3} )?\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])")
 _SOLID = re.compile(r"(?<![\w.+])[0-9]{16,19}(?!\w)")
-#: Digits and what may part them; the digits of a longer run than a pattern takes are cut by _runs.
-_LONG = re.compile(r"\(?[0-9][0-9() .\-/]*[0-9](?!\w)")
+#: Digits and what may part them: those of a longer run than a pattern takes are cut by _runs.
 _CHUNK = re.compile(r"[0-9]+")
 _GAP = re.compile(r"[() .\-/]{1,3}")
 _BRACKET_AT = re.compile(r"[\[({] ?(?:at|AT|@)")
-_SPELT = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({] ?(?:at|AT|@) ?[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({] ?(?:dot|DOT|\.) ?[\])}]) ?[A-Za-z0-9-]{1,63}){1,8}")
-_HALF = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?![\w.-])")
+_SPELT = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]+ ?[\[({] ?(?:at|AT|@) ?[\])}] ?[A-Za-z0-9-]+(?: ?(?:\.|[\[({] ?(?:dot|DOT|\.) ?[\])}]) ?[A-Za-z0-9-]+)+")
+_HALF = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?![\w.-])")
 _SPELT_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:\[\.\][0-9]{1,3}|\(\.\)[0-9]{1,3}|\[dot\][0-9]{1,3}){3}(?![\w.])")
 _AT = re.compile(r" ?[\[({] ?(?:at|@) ?[\])}] ?", re.I)
 _DOT = re.compile(r" ?[\[({] ?(?:dot|\.) ?[\])}] ?", re.I)
@@ -186,14 +185,12 @@ def mentions(text: str, base: list[tuple[int, int, int]] | None = None) -> list[
         found += [m.span() for p in (_SPELT, _HALF) for m in p.finditer(text)]
     if _DIGIT.search(text):
         found += [m.span() for p in (_GROUPED, _SOLID, _SPELT_IP) for m in p.finditer(text)]
-        m = _NUMBER.search(text)
-        while m:
-            if len(_NOT_DIGIT.sub("", m[0])) <= 15:
-                found.append(m.span())
-            else:
-                m = _LONG.match(text, m.start())
+        for m in _NUMBER.finditer(text):
+            digits = len(_NOT_DIGIT.sub("", m[0]))
+            if digits > 15:
                 found += _runs(text, *m.span())
-            m = _NUMBER.search(text, m.end())
+            elif len(m[0]) >= 7:
+                found.append(m.span())
     for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
         k = bisect_left(starts, b)
         if a >= last and not (k and reach[k - 1] > a):
@@ -271,28 +268,88 @@ class Model:
         return base, sorted(base + more)
 
 
-def fit(features: np.ndarray, labels: np.ndarray, agree: float, follow: np.ndarray, ridge: float = 1e-3, steps: int = 400) -> Model:
-    """Weights by penalised maximum likelihood; the leading + is hidden in half of the rows so that shape counts too."""
-    w = np.zeros((N_FEATURES, len(LABELS)))
-    if len(labels):
-        x = features.copy()
-        x[::2, 20] = 0
-        y = np.eye(len(LABELS))[labels]
-        velocity = np.zeros_like(w)
+def variants(kind: int, s: str) -> list[str]:
+    """What a pattern's match looks like where the pattern would miss it."""
+    if KINDS[kind] == "email":
+        box, _, host = s.rpartition("@")
+        return [f"{box} [at] {host.replace('.', ' [dot] ')}", f"{box}(at){host}", f"{box}@{host.partition('.')[0]}"]
+    if KINDS[kind] == "ip":
+        return [s.replace(".", "[.]"), s.replace(".", "(.)")]
+    digits = _NOT_DIGIT.sub("", s)
+    if KINDS[kind] == "card":
+        return [".".join(digits[k : k + 4] for k in range(0, len(digits), 4)), "/".join(digits[k : k + 4] for k in range(0, len(digits), 4))]
+    return [s[1:], s[s.index(" ") + 1 :] if " " in s else s[1:], f"{digits[-10:-7]} {digits[-7:-4]}-{digits[-4:]}".strip(), f"{digits[-10:-7]}.{digits[-7:-4]}.{digits[-4:]}".strip(".")]
+
+
+def fit(rows_: list[tuple], ridge: float = 2e-4, steps: int = 600) -> Model:
+    """Weights, agreement and transitions together, by penalised maximum pseudo-likelihood of the field.
+
+    rows_: features, label of what shares a key (-1: nothing does), label
+    before, label after (-1: none is near), own label, how often. A row's label
+    is scored given those of its neighbours, so all three kinds of potential
+    compete for what they explain. The agreement learned is that of two
+    mentions; each is tied to their common variable so that both ties in a row
+    have that strength.
+    """
+    m = len(LABELS)
+    w, agree, follow = np.zeros((N_FEATURES, m)), 0.0, np.zeros((m, m))
+    if rows_:
+        x = np.array([r[0] for r in rows_], float)
+        hub, before, after, y, n = (np.array([r[k] for r in rows_], int) for k in range(1, 6))
+        n = n / n.sum()
+        linked, has_before, has_after = ((v >= 0).astype(float) for v in (hub, before, after))
+        same, prior, later, own = np.eye(m)[hub] * linked[:, None], np.eye(m)[before] * has_before[:, None], np.eye(m)[after] * has_after[:, None], np.eye(m)[y]
+        speed = [np.zeros_like(w), 0.0, np.zeros_like(follow)]
         for _ in range(steps):
-            z = x @ (w + 0.9 * velocity)
+            z = x @ w + agree * same + prior @ follow + later @ follow.T
             z = np.exp(z - z.max(1, keepdims=True))
-            grad = x.T @ (z / z.sum(1, keepdims=True) - y) / len(x) + ridge * w
-            velocity = 0.9 * velocity - 0.5 * grad
-            w = w + velocity
-    return Model(w, agree, follow)
+            error = (z / z.sum(1, keepdims=True) - own) * n[:, None]
+            grads = [x.T @ error + ridge * w, float((error * same).sum()) + ridge * agree, prior.T @ error + (later.T @ error).T + ridge * follow]
+            speed = [0.9 * v - 0.5 * g for v, g in zip(speed, grads, strict=True)]
+            w, agree, follow = w + speed[0], max(0.0, agree + speed[1]), follow + speed[2]
+    low, high = 0.0, 30.0
+    for _ in range(60):
+        a = (low + high) / 2
+        low, high = (a, high) if np.log((np.exp(2 * a) + m - 1) / (2 * np.exp(a) + m - 2)) < agree else (low, a)
+    return Model(w, (low + high) / 2, follow)
+
+
+def examples(text: str) -> Iterator[tuple[list[float], int, int, int, int]]:
+    """Rows of :func:`fit` that a text gives: candidates that no pattern matches, and its matches as they look where patterns miss them.
+
+    A match hidden so keeps its label; it is seen once with a copy of itself
+    elsewhere in the text and once alone. A candidate that shares a key with a
+    match has its label, others have none.
+    """
+    found = mentions(text)
+    label = [x.kind + 1 for x in found]
+    by_key: dict[str, list[int]] = {}
+    for i, x in enumerate(found):
+        for k in x.keys:
+            by_key.setdefault(k, []).append(i)
+    known = {k: next((label[i] for i in some if found[i].kind >= 0), 0) for k, some in by_key.items()}
+    for i, x in enumerate(found):
+        if x.kind < 0:
+            label[i] = next((known[k] for k in x.keys if known[k]), 0)
+    for i, x in enumerate(found):
+        before = label[i - 1] if i and x.start - found[i - 1].end <= 40 else -1
+        after = label[i + 1] if i + 1 < len(found) and found[i + 1].start - x.end <= 40 else -1
+        if x.kind < 0:
+            shared = any(len(by_key[k]) > 1 for k in x.keys)
+            yield x.features.tolist(), label[i] if shared else -1, before, after, label[i]
+            continue
+        around = text[max(0, x.start - 40) : x.start]
+        for v in [text[x.start : x.end], *variants(x.kind, text[x.start : x.end])]:  # as it is too: another match may be in its way
+            f = _mention(around + v, len(around), len(around) + len(v), -1).features.tolist()
+            yield f, label[i], before, after, label[i]
+            yield f, -1, before, after, label[i]
 
 
 def train(docs: DataFrame, sample: int = 10_000) -> Model:
     """A model from about so many documents of least hash of doc_id (the documented bound of what training reads).
 
-    The patterns' matches are its labels. What equal keys gain is the log odds
-    of equal labels among pattern matches that share one, between 3 and 6.
+    The patterns' matches are its labels, hidden from it: it learns to know
+    them by other shapes, by copies and by neighbours. See :func:`examples`.
     """
     n = docs.count()
     share = min(1.0, sample / max(1, n))
@@ -300,40 +357,13 @@ def train(docs: DataFrame, sample: int = 10_000) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (texts,) in rows(batches, "text"):
-            f, y, nxt, shared, equal = [], [], [], 0, 0
-            for t in texts:
-                found = mentions(t)
-                seen: dict[str, int] = {}
-                for k, x in enumerate(found):
-                    f.append(x.features.tolist())
-                    y.append(x.kind + 1)
-                    near = k + 1 < len(found) and found[k + 1].start - x.end <= 40
-                    nxt.append(found[k + 1].kind + 1 if near else -1)
-                    if x.kind >= 0:
-                        for key in x.keys:
-                            if key in seen:
-                                shared += 1
-                                equal += seen[key] == x.kind
-                            seen[key] = x.kind
-            f.append([0.0] * N_FEATURES)
-            y.append(-1 - shared)
-            nxt.append(equal)
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), pa.array(y, pa.int64()), pa.array(nxt, pa.int64())], ["f", "y", "next"])
-
-    # mentions of one shape are one row with a count: the driver gets shapes, of which there are few
-    got = chosen.mapInArrow(run, "f array<double>, y long, next long").groupBy("f", "y", "next").agg(F.count("*").alias("n")).collect()
-    stats = [r for r in got if r.y < 0]
-    shared, equal = sum(-(r.y + 1) * r.n for r in stats), sum(r.next * r.n for r in stats)
-    agree = float(np.clip(np.log((equal + 1) / (shared - equal + 1)), 3.0, 6.0))
-    real = sorted((r for r in got if r.y >= 0), key=lambda r: (r.f, r.y, r.next))
-    follow = np.ones((len(LABELS), len(LABELS)))
-    for r in real:
-        if r.next >= 0:
-            follow[r.y, r.next] += r.n
-    pmi = np.log(follow / follow.sum()) - np.log(follow.sum(1, keepdims=True) / follow.sum()) - np.log(follow.sum(0, keepdims=True) / follow.sum())
-    x = np.repeat(np.array([r.f for r in real]).reshape(-1, N_FEATURES), [min(r.n, 200) for r in real], axis=0) if real else np.zeros((0, N_FEATURES))
-    y = np.repeat(np.array([r.y for r in real], int), [min(r.n, 200) for r in real]) if real else np.zeros(0, int)
-    return fit(x, y, agree, np.clip(pmi, -1, 1))
+            got = [r for t in texts for r in sorted({(tuple(f), *y) for f, *y in examples(t)})]
+            columns = list(zip(*got, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.list_(pa.float64())), *(pa.array(c, pa.int64()) for c in columns[1:])], ["f", "hub", "before", "after", "y"])
+
+    # a document counts each of its shapes once, so that none outweighs the others by repeating itself; examples of one shape are one row with a count: the driver gets shapes, of which there are few
+    shapes = chosen.mapInArrow(run, "f array<double>, hub long, before long, after long, y long").groupBy("f", "hub", "before", "after", "y").agg(F.count("*").alias("n")).collect()
+    return fit(sorted((r.f, r.hub, r.before, r.after, r.y, r.n) for r in shapes))
 
 
 def text_of(spans: list[tuple[int, int, int]]) -> str:
