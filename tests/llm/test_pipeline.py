@@ -60,6 +60,13 @@ def test_odd_documents(spark):
             assert got or d is not docs
 
 
+def test_language_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, "你好", None), (4, None, None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in pipe.language(spark, docs, SF).collect()) == [1, 3]
+    labelled = docs.union(spark.createDataFrame([(5, "some words of it", "en"), (6, "12", "de")], docs.schema))
+    assert sorted(r.doc_id for r in pipe.language(spark, labelled, SF).collect()) == [1, 5]
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and len([n for n in names if n.startswith("op")]) == 10
