@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltframe.llm.common import rows, table
+from quiltframe.llm.common import frugal, rows, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("", *KINDS)
@@ -362,7 +362,7 @@ def train(docs: DataFrame, sample: int = 10_000) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.list_(pa.float64())), *(pa.array(c, pa.int64()) for c in columns[1:])], ["f", "hub", "before", "after", "y"])
 
     # a document counts each of its shapes once, so that none outweighs the others by repeating itself; examples of one shape are one row with a count: the driver gets shapes, of which there are few
-    shapes = chosen.mapInArrow(run, "f array<double>, hub long, before long, after long, y long").groupBy("f", "hub", "before", "after", "y").agg(F.count("*").alias("n")).collect()
+    shapes = chosen.mapInArrow(frugal(run), "f array<double>, hub long, before long, after long, y long").groupBy("f", "hub", "before", "after", "y").agg(F.count("*").alias("n")).collect()
     return fit(sorted((r.f, r.hub, r.before, r.after, r.y, r.n) for r in shapes))
 
 
@@ -391,7 +391,7 @@ def find(docs: DataFrame, model: Model, least: float = 0.9) -> DataFrame:
                 spans.append(text_of(every))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(x, pa.int64()) for x in n), pa.array(sha, pa.string()), pa.array(spans, pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(frugal(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -414,7 +414,7 @@ def redact(docs: DataFrame, model: Model, least: float = 0.9) -> DataFrame:
             got = [masked(t, s) if t and (s := model.spans(t, least)[1]) else t for t in texts]
             yield b.set_column(at, b.schema.field(at), pa.array(got, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

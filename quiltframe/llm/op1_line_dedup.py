@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltframe.llm.common import cut, parallelism, release, rows, table, written
+from quiltframe.llm.common import cut, frugal, parallelism, release, rows, table, written
 from quiltframe.llm.components import components
 from quiltframe.llm.op5_shingle_join import Join, _runs
 from quiltframe.llm.words import U, mix, word_hashes
@@ -67,7 +67,7 @@ def counts(docs: DataFrame) -> tuple[np.ndarray, int]:
         for p, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_scaled(s).tobytes()], pa.binary()), pa.array([int(s.sum())])], ["part", "blob", "n"])
 
-    got = docs.select("text").mapInArrow(run, "part int, blob binary").repartitionById(min(SLICES, parallelism(spark)), F.pmod("part", F.lit(min(SLICES, parallelism(spark))))).mapInArrow(total, "part int, blob binary, n long").collect()  # BUCKETS bytes in all
+    got = docs.select("text").mapInArrow(frugal(run), "part int, blob binary").repartitionById(min(SLICES, parallelism(spark)), F.pmod("part", F.lit(min(SLICES, parallelism(spark))))).mapInArrow(frugal(total), "part int, blob binary, n long").collect()  # BUCKETS bytes in all
     out = np.zeros((SLICES, BUCKETS // SLICES), np.uint8)
     for r in got:
         out[r.part] = np.frombuffer(r.blob, np.uint8)
@@ -328,14 +328,14 @@ def removed_lines(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_toke
             for at in range(0, pairs.shape[1], 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in pairs], PAIRS)
 
-    found = written(docs.mapInArrow(emit, "part int, blob binary").repartitionById(parts, F.col("part")).mapInArrow(reduce, FOUND))
+    found = written(docs.mapInArrow(frugal(emit), "part int, blob binary").repartitionById(parts, F.col("part")).mapInArrow(frugal(reduce), FOUND))
     pairs = found.where(f"kind = {PAIR}")
     hot = found.where(f"kind = {HOT}")
     if not hot.isEmpty():
         sent = hot.select(F.col("a").alias("token"), F.col("b").alias("mine"), F.explode(F.sequence("number", "last")).alias("other"), "blob")
         sent = sent.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "blob")
         pairs = pairs.unionByName(sent.repartition(parts, "token", "i", "j").groupBy("token", "i", "j").applyInArrow(across, FOUND))
-    pairs = written(pairs.select("a", "blob").repartitionById(parts, F.col("a").cast("int")).mapInArrow(distinct, ", ".join(f"{c} long" for c in PAIRS)))
+    pairs = written(pairs.select("a", "blob").repartitionById(parts, F.col("a").cast("int")).mapInArrow(frugal(distinct), ", ".join(f"{c} long" for c in PAIRS)))
     later = written(_verified(docs, pairs, join, parts))  # its shuffle of the texts is gone before the caller's
     return found.where(f"kind = {GONE}").select("key", "h", "number").union(later).groupBy("key", "h").agg(F.collect_set("number").alias("gone"))
 
@@ -363,7 +363,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, join: Join, parts: int, block:
                 out += [lines[i] for i in col["number"][edge[k] : edge[k + 1]]]
             yield pa.RecordBatch.from_arrays([pa.array(col["root"]), pa.array(col["blocks"]), pa.array(col["block"]), pa.array(col["cls"]), pa.array(out, pa.string())], ["root", "blocks", "block", "a", "text"])
 
-    lines = docs.join(wanted, ["key", "h"]).select("text", "some").mapInArrow(cut_out, "root long, blocks int, block int, a long, text string")
+    lines = docs.join(wanted, ["key", "h"]).select("text", "some").mapInArrow(frugal(cut_out), "root long, blocks int, block int, a long, text string")
     sent = lines.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "a", F.lit(None).cast("long").alias("b"), "text", *[F.lit(None).cast("long").alias(c) for c in ("key", "h", "number")])
     asked = placed.select("root", F.least("ba", "bb").alias("i"), F.greatest("ba", "bb").alias("j"), "a", "b", F.lit(None).cast("string").alias("text"), F.greatest("at_a", "at_b").alias("at")).select("root", "i", "j", "a", "b", "text", "at.*")
 
@@ -400,7 +400,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, join: Join, parts: int, block:
             yield pa.RecordBatch.from_arrays([pa.array(w[ok]) for w in where], ["key", "h", "number"])
             lo = hi
 
-    return sent.union(asked).repartition(parts, "root", "i", "j").select("a", "b", "text", "key", "h", "number").mapInArrow(verify, "key long, h long, number long")
+    return sent.union(asked).repartition(parts, "root", "i", "j").select("a", "b", "text", "key", "h", "number").mapInArrow(frugal(verify), "key long, h long, number long")
 
 
 def _spread(edge: np.ndarray, n: np.ndarray, which: np.ndarray, words: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltframe.llm.common import cut, parallelism, rows, table, written
+from quiltframe.llm.common import cut, frugal, parallelism, rows, table, written
 from quiltframe.llm.components import components
 from quiltframe.llm.words import U, mix, word_hashes
 
@@ -392,7 +392,7 @@ def _prices(docs: DataFrame, width: int, sample: int, salt: int) -> Prices:
                 k, n = np.unique(np.concatenate(shingle_sets(texts[at : at + 200], width, salt)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n)], ["k", "n"])
 
-    got = chosen.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # of the sample alone
+    got = chosen.mapInArrow(frugal(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # of the sample alone
     k, of = got["k"].to_numpy().astype(U), got["n"].to_numpy()
     order = np.argsort(k)
     words, n_words = counts(docs)
@@ -464,7 +464,7 @@ def _found(docs: DataFrame, join: Join, width: int, salt: int, sample: int, grid
                 r = rep[at : at + 10_000]
                 yield _step(kind=[CLASS] * len(r), x=ids[r], y=cls[r], n=n[r].astype(np.int64), w=weight[at : at + 10_000], blob=[long[i] for i in r])
 
-    found = written(docs.mapInArrow(emit, "part int, blob binary").repartitionById(parts, F.col("part")).mapInArrow(reduce, STEP))
+    found = written(docs.mapInArrow(frugal(emit), "part int, blob binary").repartitionById(parts, F.col("part")).mapInArrow(frugal(reduce), STEP))
     return None if found.where("kind = -1").count() else found
 
 

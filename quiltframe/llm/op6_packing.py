@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltframe.llm import bpe
-from quiltframe.llm.common import chunked, rows, table, written
+from quiltframe.llm.common import chunked, frugal, rows, table, written
 
 VOCAB = 1 << 16
 #: Shards are numbered within their task, and sequences within their shard.
@@ -36,7 +36,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array([len(x) // 2 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "ids"])
         yield pa.RecordBatch.from_arrays([pa.array([n_ids], pa.int64()), pa.array([-1 - n_docs], pa.int64()), pa.array([zlib.compress(df.astype("<i8").tobytes(), 1)], pa.binary())], ["doc_id", "n", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(frugal(run, True), "doc_id long, n long, ids binary")
 
 
 def frequencies(tokens: DataFrame) -> tuple[int, int, np.ndarray]:
@@ -52,7 +52,7 @@ def frequencies(tokens: DataFrame) -> tuple[int, int, np.ndarray]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [docs, ids]))], ["id", "n"])
 
-    got = tokens.where("n < 0").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # an id of the vocabulary each
+    got = tokens.where("n < 0").mapInArrow(frugal(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # an id of the vocabulary each
     df, whole = np.zeros(VOCAB, np.int64), {-1: 0, -2: 0}
     for r in got:
         if r.id < 0:
@@ -273,7 +273,7 @@ def routed(tokens: DataFrame, weights, n_docs: int, n_ids: int, shard_tokens: in
     tree, shard = {}, {1: (0, 0)}
     if n_ids > shard_tokens:
         share = min(1.0, max(8_000, min(100_000, 32 * n_ids / most)) / n_docs)
-        got = kept.where(F.pmod(F.xxhash64("ids"), F.lit(1_000_000)) < share * 1_000_000).select("n", "ids").mapInArrow(project, "n long, v binary").collect()  # at most about 100,000
+        got = kept.where(F.pmod(F.xxhash64("ids"), F.lit(1_000_000)) < share * 1_000_000).select("n", "ids").mapInArrow(frugal(project), "n long, v binary").collect()  # at most about 100,000
         got.sort(key=lambda r: (r.n, r.v))
         if got:
             n = np.array([r.n for r in got], float)
@@ -286,7 +286,7 @@ def routed(tokens: DataFrame, weights, n_docs: int, n_ids: int, shard_tokens: in
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(raw, pa.binary()), pa.array([shard[x][0] for x in p], pa.int32()), pa.array([shard[x][1] for x in p], pa.int32())], ["doc_id", "ids", "leaf", "shard"])
 
     parts = 1 + max(no for _, no in shard.values())
-    there = kept.mapInArrow(route, "doc_id long, ids binary, leaf int, shard int").repartitionById(parts, F.col("shard"))
+    there = kept.mapInArrow(frugal(route), "doc_id long, ids binary, leaf int, shard int").repartitionById(parts, F.col("shard"))
     return there.sortWithinPartitions("shard", "leaf", "doc_id", F.xxhash64("ids")).select("doc_id", "ids", "shard")
 
 
@@ -338,7 +338,7 @@ def pack(docs: DataFrame, window: int = 4096, path: str | None = None, end_id: i
         if ids:
             yield from flush()
 
-    return routed(tokens, weights, n_docs, n_ids, shard_tokens).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return routed(tokens, weights, n_docs, n_ids, shard_tokens).mapInArrow(frugal(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltframe.llm.common import rows, table
+from quiltframe.llm.common import frugal, rows, table
 
 UNDETERMINED = "und"
 SPACE = np.uint64(32)
@@ -145,7 +145,7 @@ def train(labelled: DataFrame, size: int = 400, sample: int = 20_000) -> Profile
 
     from pyspark.sql import Window
 
-    counted = chosen.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = chosen.mapInArrow(frugal(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size).collect()  # size rows for each language
     profiles: dict[str, list] = {}
@@ -172,7 +172,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
             got = [profiles.predict(t) for t in b.column(names.index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], [*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
