@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -212,7 +213,7 @@ class Audit:
         self.changes: list[dict] = []
 
     def begin(self, t: Transaction, version: int | None) -> dict:
-        row = {"uid": t.uid, "table": t.table, "tool": t.tool, "reason": t.reason, "status": "pending", "before": version, "at": time.time()}
+        row = {"uid": t.uid, "table": t.table, "tool": t.tool, "reason": t.reason, "status": "pending", "error": None, "before": version, "at": time.time()}
         self.transactions.append(row)
         self.changes += [{"transaction": t.uid, "order": i, "op": type(o).__name__, "payload": json.dumps({k: v for k, v in asdict_plain(o).items()}, default=str), "status": "pending"} for i, o in enumerate(t.ops)]
         return row
@@ -236,7 +237,9 @@ def apply(df: DataFrame, t: Transaction, audit: Audit | None = None, version: in
     """The table after a transaction and its status: validated, applied, partial or failed.
 
     All edits are checked against the columns as they would be before any is
-    applied. When one fails, those before it stay (partial). commit is called after each.
+    applied. When one fails, those before it stay (partial) and the audit keeps
+    the error. commit is called after each and runs it; without, an edit is
+    only planned, and faults in the rows show where the result is used.
     """
     columns = dict(df.dtypes)
     for op in t.ops:
@@ -256,8 +259,9 @@ def apply(df: DataFrame, t: Transaction, audit: Audit | None = None, version: in
                 commit(df)
             done += 1
         row["status"] = "applied"
-    except Exception:
+    except (PySparkException, ValueError, KeyError, TypeError) as e:
         row["status"] = "partial" if done else "failed"
+        row["error"] = f"{type(e).__name__}: {e}"[:2_000]
     if audit:
         for c in audit.get(t.uid)[:done]:
             c["status"] = "applied"

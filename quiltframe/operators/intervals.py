@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +44,85 @@ def overlaps(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
     return a.join(b, met & once).drop("__bin", "__pbin")
 
 
-def peak_counts(frags: DataFrame, peaks: DataFrame, width: int = 1_000) -> DataFrame:
-    """barcode, peak, n: how many fragments of a cell overlap each peak."""
-    named = peaks.withColumn("name", F.coalesce("name", F.concat_ws("", F.col("chrom"), F.lit(":"), F.col("start"), F.lit("-"), F.col("end")))) if "name" in peaks.columns else peaks.withColumn("name", F.concat_ws("", F.col("chrom"), F.lit(":"), F.col("start"), F.lit("-"), F.col("end")))
-    met = overlaps(frags.withColumn("end", F.col("start") + F.col("length")), named.select("chrom", "start", "end", "name"), width)
-    return met.groupBy("barcode", F.col("p_name").alias("peak")).agg(F.count("*").alias("n"))
+def named_peaks(peaks: DataFrame) -> DataFrame:
+    """chrom, start, end, name: a peak without name is chrom:start-end."""
+    plain = F.concat_ws("", F.col("chrom"), F.lit(":"), F.col("start"), F.lit("-"), F.col("end"))
+    return peaks.select("chrom", "start", "end", (F.coalesce("name", plain) if "name" in peaks.columns else plain).alias("name"))
+
+
+def peak_counts(frags: DataFrame, peaks: DataFrame, width: int = 1_000, most: int = 4_000_000) -> DataFrame:
+    """barcode, peak, n: how many fragments of a cell overlap each peak, half-open; empty intervals overlap nothing.
+
+    Peaks are a dimension: up to ``most`` go to all tasks, which count block by
+    block of fragments without a shuffle; sums meet by cell and peak. In a block
+    those that start before a peak's end, less those that end before its start,
+    are the overlaps, by two sorted lists for each cell; where a cell has few
+    fragments, its pairs are fewer and are made instead. More peaks than that
+    are joined by bins.
+    """
+    named = named_peaks(peaks).where("end > start")
+    if named.limit(most + 1).count() > most:
+        met = overlaps(frags.withColumn("end", F.col("start") + F.col("length")), named, width)
+        return met.groupBy("barcode", F.col("p_name").alias("peak")).agg(F.count("*").alias("n"))
+    by_chrom: dict[str, list] = {}
+    for r in named.collect():  # at most so many
+        by_chrom.setdefault(r.chrom, []).append((r.start, r.end, r.name))
+    sets, names = {}, []
+    for chrom, some in by_chrom.items():
+        some.sort()
+        start, end = (np.array([r[k] for r in some]) for k in range(2))
+        sets[chrom] = (start, end, np.maximum.accumulate(end), len(names))
+        names += [r[2] for r in some]
+    sent = frags.sparkSession.sparkContext.broadcast(sets)
+
+    def of_cell(start: np.ndarray, end: np.ndarray, peaks_: tuple) -> tuple[np.ndarray, np.ndarray]:
+        p_start, p_end, furthest, _ = peaks_
+        lo, hi = np.searchsorted(furthest, start, "right"), np.searchsorted(p_start, end, "left")
+        a, b = int(lo.min()), int(hi.max())
+        pairs = np.maximum(hi - lo, 0)
+        if pairs.sum() <= b - a:
+            at = np.repeat(lo, pairs) + np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+            at, n = np.unique(at[p_end[at] > np.repeat(start, pairs)], return_counts=True)
+            return at, n
+        n = np.searchsorted(np.sort(start), p_end[a:b], "left") - np.searchsorted(np.sort(end), p_start[a:b], "right")
+        at = np.flatnonzero(n > 0)
+        return a + at, n[at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def block() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).sort_by([("chrom", "ascending"), ("barcode", "ascending")])
+            held.clear()
+            start = t["start"].to_numpy()
+            end = start + t["length"].to_numpy()
+            chroms, cells = (pa.concat_arrays(t[c].chunks) for c in ("chrom", "barcode"))
+            chrom, cell = chroms.dictionary_encode(), cells.dictionary_encode()
+            code = np.stack([x.indices.to_numpy() for x in (chrom, cell)])
+            first = np.flatnonzero(np.append(True, (code[:, 1:] != code[:, :-1]).any(0)))
+            out: list[tuple] = []
+            for x, y in zip(first, np.append(first[1:], len(start)), strict=True):
+                known = sent.value.get(chroms[x].as_py())
+                if known is not None:
+                    at, n = of_cell(start[x:y], end[x:y], known)
+                    out.append((np.full(len(at), x), known[3] + at, n))
+                if out and (y == len(start) or sum(len(o[0]) for o in out) > 200_000):
+                    which, peak, n = (np.concatenate(c) for c in zip(*out, strict=True))
+                    out.clear()
+                    yield pa.RecordBatch.from_arrays([cells.take(pa.array(which)), pa.array(peak), pa.array(n.astype("i8"))], ["barcode", "peak", "n"])
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= 500_000:
+                yield from block()
+        if held:
+            yield from block()
+
+    cell = frags.schema["barcode"].dataType.simpleString()
+    whole = frags.where((F.col("length") > 0) & F.col("chrom").isNotNull() & F.col("barcode").isNotNull()).select("chrom", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), "barcode")
+    counted = whole.mapInArrow(run, f"barcode {cell}, peak long, n long").groupBy("barcode", "peak").agg(F.sum("n").alias("n"))
+    called = frags.sparkSession.createDataFrame(list(enumerate(names)), "peak long, name string")
+    return counted.join(called, "peak").groupBy("barcode", F.col("name").alias("peak")).agg(F.sum("n").alias("n")) if len(set(names)) < len(names) else counted.join(called, "peak").select("barcode", F.col("name").alias("peak"), "n")
 
 
 def touching(targets: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
@@ -52,18 +130,26 @@ def touching(targets: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
     return targets.where((F.col("target_chromosome") == chrom) & (F.col("target_start") <= end) & (F.col("target_end") >= start))
 
 
-def nearest_gene(points: DataFrame, genes: DataFrame) -> DataFrame:
+def nearest_gene(points: DataFrame, genes: DataFrame, bins: int = 256) -> DataFrame:
     """point, gene: the gene of a point's chromosome whose start of transcription is nearest, the first by name on ties.
 
-    Points and starts are sorted as one list and each point takes the last start
-    before and the first after it: one shuffle by chromosome, no pairs.
+    Points and starts are one list, cut into ranges of each chromosome. A point
+    takes the last start before it and the first after it in its range; the
+    ends of the ranges, few rows, hand on what lies beyond them. No pairs, and
+    no chromosome in one task.
     """
     tss = genes.select("chrom", F.when(F.col("strand").cast("string").isin("1", "+"), F.col("start")).otherwise(F.col("end")).alias("at"), "gene").groupBy("chrom", "at").agg(F.min("gene").alias("gene"))
     both = points.select("chrom", "at", "point", F.lit(None).cast("string").alias("gene")).unionByName(tss.select("chrom", "at", F.lit(None).cast(dict(points.dtypes)["point"]).alias("point"), "gene"))
+    from quiltframe.operators.layouts import cuts
+
+    both = both.withColumn("bin", cuts(both, "at", bins))
     here = F.when(F.col("gene").isNotNull(), F.struct("at", "gene"))
-    back = Window.partitionBy("chrom").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    on = Window.partitionBy("chrom").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("l", F.last(here, True).over(back)).withColumn("r", F.first(here, True).over(on)).where("gene is null")
+    ends = both.groupBy("chrom", "bin").agg(F.max(here).alias("last"), F.min(here).alias("first"))  # a row for each range
+    w = Window.partitionBy("chrom").orderBy("bin")
+    ends = ends.select("chrom", "bin", F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    own = Window.partitionBy("chrom", "bin").orderBy("at")
+    found = both.withColumn("l", F.last(here, True).over(own.rangeBetween(Window.unboundedPreceding, 0))).withColumn("r", F.first(here, True).over(own.rangeBetween(0, Window.unboundedFollowing))).where("gene is null")
+    found = found.join(ends, ["chrom", "bin"]).withColumn("l", F.coalesce("l", "before")).withColumn("r", F.coalesce("r", "after"))
     dl, dr = F.col("at") - F.col("l.at"), F.col("r.at") - F.col("at")
     pick = F.when(F.col("l").isNull(), F.col("r.gene")).when(F.col("r").isNull() | (dl < dr), F.col("l.gene")).when(dr < dl, F.col("r.gene")).otherwise(F.least("l.gene", "r.gene"))
     return found.select("point", pick.alias("gene"))

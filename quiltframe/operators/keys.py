@@ -137,8 +137,21 @@ def shuffled(df: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
     return df.withColumn("order", F.xxhash64(F.lit(seed + epoch), key))
 
 
-def group_batches(df: DataFrame, group: str, size: int, key: str, drop_last: bool = True) -> DataFrame:
-    """df with batch (within its group): each batch is of one group."""
+def group_batches(df: DataFrame, group: str, size: int, key: str, drop_last: bool = True, ranges: int = 64) -> DataFrame:
+    """df with batch (within its group): each batch is of one group.
+
+    Rows are numbered range by range of key and shifted by the sizes of the
+    ranges before, so that a group that holds most rows is many tasks.
+    """
+    from quiltframe.operators.layouts import cuts
+
+    part = cuts(df, key, ranges)
+    cutup = df.withColumn("__p", part)
+    sizes = cutup.groupBy(group, "__p").agg(F.count("*").alias("__c"))
     w = Window.partitionBy(group)
-    out = df.withColumn("batch", F.floor((F.row_number().over(w.orderBy(key)) - 1) / size))
-    return out.withColumn("__n", F.count("*").over(w)).where((F.col("batch") + 1) * size <= F.col("__n")).drop("__n") if drop_last else out
+    before = sizes.withColumn("__b", F.coalesce(F.sum("__c").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__n", F.sum("__c").over(w)).drop("__c").withColumnRenamed(group, "__g")
+    out = cutup.join(before.withColumnRenamed("__p", "__q"), F.col(group).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")))
+    out = out.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(group, "__p").orderBy(key)) - 1 + F.col("__b")) / size))
+    if drop_last:
+        out = out.where((F.col("batch") + 1) * size <= F.col("__n"))
+    return out.select(*df.columns, "batch")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltframe.functions.ids import layout_uid
@@ -15,6 +15,12 @@ def insert_absent(target: DataFrame, rows: DataFrame, key: str = "uid") -> DataF
     return first.join(target.select(key), key, "left_anti")
 
 
+def first_of(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The row of least order, null last, of each key."""
+    w = Window.partitionBy(key).orderBy(F.col(order).asc_nulls_last())
+    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
 def reindex(registry: DataFrame, key: str = "uid", index: str = "global_index") -> DataFrame:
     """Numbers rows without an index from the largest on, in order of key; indices once given stay.
 
@@ -25,20 +31,30 @@ def reindex(registry: DataFrame, key: str = "uid", index: str = "global_index")
     return registry.where(F.col(index).isNotNull()).unionByName(ranked(missing, key, "__r").join(F.broadcast(top)).withColumn(index, F.col("__r") + F.col("__top") + 1).select(*registry.columns))
 
 
-def ranked(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df with a gapless rank from 0 by key, without a global sort in one task."""
+def ranked(df: DataFrame, key: str, name: str, sample: int = 20_000) -> DataFrame:
+    """df with a gapless rank from 0 by key, null keys first, without a global sort in one task.
+
+    Ranges are cut at quantiles of about ``sample`` keys; ranks are exact wherever the cuts lie.
+    """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    bounds = df.select(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000).alias("b")).first()["b"] if n > 1 and dict(df.dtypes)[key] not in ("string",) else None
-    if bounds:
-        part = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col(key)))
-    else:  # texts go by their first characters
-        part = F.substring(F.col(key).cast("string"), 1, 3)
-    cutup = df.withColumn("__p", part)
-    size = cutup.groupBy("__p").agg(F.count("*").alias("__c"))
+    cutup = df.withColumn("__p", cuts(df, key, n, sample))
+    size = cutup.groupBy("__p").agg(F.count("*").alias("__c"))  # n rows at most
     before = size.withColumn("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
     return cutup.join(F.broadcast(before), "__p").withColumn(name, F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1 + F.col("__b")).drop("__p", "__b")
 
 
+def cuts(df: DataFrame, key: str, n: int, sample: int = 20_000) -> Column:
+    """The range of each row's key, of n at most, from quantiles of about ``sample`` keys; nulls are in the first."""
+    keys = df.select(key).where(F.col(key).isNotNull())
+    share = min(1.0, sample / max(1, keys.count())) if n > 1 else 0
+    some = sorted({r[0] for r in keys.where(F.pmod(F.xxhash64(key, F.lit("range")), F.lit(1_000_000)) < int(share * 1_000_000)).collect()}) if share else []  # about sample keys
+    bounds = sorted({some[i * len(some) // n] for i in range(1, n)}) if some else []
+    if not bounds:
+        return F.lit(0)
+    below = F.size(F.filter(F.array(*[F.lit(b).cast(df.schema[key].dataType) for b in bounds]), lambda b: b < F.col(key)))
+    return F.when(F.col(key).isNull(), 0).otherwise(below)
+
+
 def build_layouts(measured: DataFrame, registry: DataFrame) -> DataFrame:
     """(dataset, feature_uid) pairs to layout rows: dataset, layout_uid, feature_uid, local_index, global_index; features in order of uid."""
     order = Window.partitionBy("dataset").orderBy("feature_uid")
@@ -88,7 +104,8 @@ def datasets_with(layouts: DataFrame, datasets: DataFrame, uids: list[str], spac
     """The datasets whose layout holds any of the features, one row for each pair."""
     if space is not None:
         datasets = datasets.where(F.col("feature_space") == space)
-    hits = layouts.where(F.col("feature_uid").isin(uids)).select("layout_uid", F.col("feature_uid").alias("global_feature_uid")).distinct()
+    wanted = layouts.sparkSession.createDataFrame([(u,) for u in dict.fromkeys(uids)], "feature_uid string")
+    hits = layouts.join(wanted, "feature_uid", "left_semi").select("layout_uid", F.col("feature_uid").alias("global_feature_uid")).distinct()
     return hits.join(datasets, "layout_uid").drop("layout_uid")
 
 

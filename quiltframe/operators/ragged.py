@@ -30,10 +30,25 @@ def sparse(values: DataFrame, layouts: DataFrame, space: DataFrame, value: str =
 
 
 def dense(values: DataFrame, layouts: DataFrame, space: DataFrame, value: str = "value") -> DataFrame:
-    """uid, column, value with 0 wherever a dataset has no such feature: rows of (dataset, uid, values array)."""
-    long = values.select("dataset", "uid", F.posexplode(value).alias("local_index", value))
-    at = sparse(long, layouts, space, value).withColumnRenamed(value, "__v")
-    return values.select("uid").join(F.broadcast(space.select("column"))).join(at, ["uid", "column"], "left").select("uid", "column", F.coalesce("__v", F.lit(0)).alias(value))
+    """uid, column, value with 0 wherever a dataset has no such feature: rows of (dataset, uid, values array).
+
+    What a dataset's layout lacks is a list of columns, made once a dataset;
+    its zeros are added beside the values, so rows never meet features in a join.
+    """
+    width = space.count()
+    if not width:
+        return values.select("uid", F.lit(0).alias("column"), F.lit(0).alias(value)).limit(0)
+    every = F.sequence(F.lit(0), F.lit(width - 1)).cast("array<int>")
+    own = layouts.join(space, "global_index").groupBy("dataset").agg(F.collect_set(F.col("column").cast("int")).alias("__have"))
+    size = layouts.groupBy("dataset").agg((F.max("local_index") + 1).cast("int").alias("__size"))
+    of = size.join(own, "dataset", "left").select("dataset", "__size", F.when(F.col("__have").isNull(), every).otherwise(F.array_except(every, "__have")).alias("__lack"))
+    rows = values.select("dataset", "uid", value).join(of, "dataset", "left")
+    kind = values.schema[value].dataType.elementType
+    full = rows.withColumn("__full", F.transform(F.sequence(F.lit(0), F.greatest(F.coalesce("__size", F.lit(1)), F.size(value), F.lit(1)) - 1), lambda i: F.coalesce(F.get(F.col(value), i), F.lit(0).cast(kind))))
+    long = full.select("dataset", "uid", F.posexplode("__full").alias("local_index", value))
+    at = sparse(long, layouts, space, value)
+    zeros = rows.select("uid", F.explode(F.coalesce("__lack", every)).alias("column"))
+    return at.unionByName(zeros.select("uid", F.col("column").cast(at.schema["column"].dataType), F.lit(0).cast(at.schema[value].dataType).alias(value)))
 
 
 def rows_as_arrays(entries: DataFrame, value: str = "value") -> DataFrame:

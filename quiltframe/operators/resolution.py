@@ -82,8 +82,18 @@ def proposals(resolved: DataFrame, column: str) -> DataFrame:
 
 
 def organism(ids: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """id, organism by the longest matching prefix (prefix, organism), else "unknown"; prefixes are a small table."""
-    hit = ids.select("id").distinct().join(F.broadcast(prefixes), F.expr("startswith(id, prefix)"), "left")
+    """id, organism by the longest matching prefix (prefix, organism), else "unknown".
+
+    An id goes to its prefixes of the lengths that there are, few numbers, and meets the table by an equi-join.
+    """
+    sizes = sorted(r.n for r in prefixes.select(F.length("prefix").alias("n")).distinct().collect())
+    each = ids.select("id").distinct()
+    if sizes:
+        each = each.withColumn("prefix", F.explode(F.array(*[F.substring("id", 1, n) for n in sizes])))
+        hit = each.join(prefixes, "prefix", "left")
+    else:
+        hit = each.withColumn("prefix", F.lit("")).withColumn("organism", F.lit(None).cast("string"))
+    hit = hit.withColumn("prefix", F.when(F.col("organism").isNotNull(), F.col("prefix")))
     return hit.groupBy("id").agg(F.max_by("organism", F.length("prefix")).alias("organism")).select("id", F.coalesce("organism", F.lit("unknown")).alias("organism"))
 
 
@@ -97,9 +107,14 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None,
     frontier = starts.select(F.col("start").cast("string").alias("start"), F.col("start").cast("string").alias("node"), F.lit(0).alias("depth")).distinct()
     spark = edges.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if not folder:
+            import tempfile
+
+            folder = tempfile.mkdtemp()
+        spark.sparkContext.setCheckpointDir(folder)
     seen, depth = frontier, 0
     while max_depth is None or depth < max_depth:
         depth += 1

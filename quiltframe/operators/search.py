@@ -42,6 +42,8 @@ def _is(word: str):
 def text_top(df: DataFrame, column: str, words: list[str], k: int, key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k rows of highest BM25 score for the words, with _score; ties by key. Only rows that hold a word leave the scan."""
     want = sorted({w.lower() for w in words})
+    if not want:
+        return df.where(F.lit(False)).withColumn("_score", F.lit(0.0))
     t = df.withColumn("__t", tokens(F.col(column))).withColumn("__n", F.size("__t"))
     tf = [F.size(F.filter("__t", _is(w))).alias(f"__f{i}") for i, w in enumerate(want)]
     t = t.select(*df.columns, "__n", *tf)

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quiltframe.operators import intervals, keys
 from quiltframe.plans.query import Query
@@ -14,7 +15,9 @@ from quiltframe.plans.query import Query
 def _pick(table: DataFrame, **equal: object) -> DataFrame:
     for column, value in equal.items():
         if value is not None:
-            table = table.where(F.col(column).isin(list(value)) if isinstance(value, (list, tuple, set)) else F.col(column) == value)
+            wanted = list(value) if isinstance(value, (list, tuple, set)) else [value]
+            names = table.sparkSession.createDataFrame([(v,) for v in wanted], T.StructType([T.StructField(column, table.schema[column].dataType)]))
+            table = table.join(names, column, "left_semi")
     return table.select("uid")
 
 

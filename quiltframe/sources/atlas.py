@@ -103,6 +103,8 @@ class Atlas:
     def register_dataset(self, dataset: str, group: str, space: str, features: DataFrame | None) -> str | None:
         """Adds a dataset and, if new, its layout: features (feature_uid, local_index). Gives the layout's uid."""
         layout = None
+        if self.read("datasets").where((F.col("feature_space") == space) & ((F.col("zarr_group") == group) | (F.col("dataset_uid") == dataset))).take(1):
+            raise ValueError(f"{space} has dataset {dataset!r} or group {group!r} already")
         if features is not None:
             if lost := [r.feature_uid for r in L.missing_features(features, self.registry(space)).take(5)]:
                 raise KeyError(f"not in the registry: {lost}")
@@ -125,6 +127,8 @@ class Atlas:
         r = rows.agg(F.count("*").alias("n"), F.countDistinct("uid").alias("d"), F.count("uid").alias("u")).first()
         if r.n != r.d or r.n != r.u:
             raise ValueError("uids are null or not unique")
+        if known := [r.uid for r in rows.select("uid").join(have.select("uid"), "uid", "left_semi").take(5)]:
+            raise ValueError(f"uids are there already: {known}")
         top = have.agg(F.coalesce(F.max("_rowid"), F.lit(-1)).alias("m")).first()["m"]
         numbered = L.ranked(rows, "uid", "_rowid").withColumn("_rowid", F.col("_rowid") + top + 1)
         return self.store.append(table, S.align(numbered, have.schema))
@@ -137,8 +141,8 @@ class Atlas:
         for t in self.store.tables():
             if t.startswith("registry."):
                 n = self.store.version(t)
-                self.store.rewrite(t, L.reindex(self.store.read(t).dropDuplicates(["uid"])), n)
-        every = None
+                self.store.rewrite(t, L.reindex(L.first_of(self.store.read(t), "uid", "global_index")), n)
+        every = None  # the copy of a feature that has a number stays; only copies without one go
         for t in (x for x in self.store.tables() if x.startswith("registry.")):
             r = self.store.read(t).select("uid", "global_index")
             every = r if every is None else every.unionByName(r)
