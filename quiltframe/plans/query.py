@@ -10,12 +10,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quiltframe import schema as S
-from quiltframe.operators import intervals, keys, layouts, limits, ragged, search
+from quiltframe.operators import images, intervals, keys, layouts, limits, ragged, search
 
 if TYPE_CHECKING:
     from quiltframe.sources.atlas import Atlas
 
 
+class _Ingest:
+    """The ingestion module, imported when first used, as it imports the atlas."""
+
+    def __getattr__(self, name: str) -> object:
+        from quiltframe.sources import ingest as module
+
+        return getattr(module, name)
+
+
+ingest = _Ingest()
+
+
 @dataclass(frozen=True)
 class Matrix:
     """A result: obs, var (features by column) and long entries (uid, column, value) of each layer."""
@@ -193,7 +205,13 @@ class Query:
         else:
             cols = ragged.feature_space(bridge, how=self.join)
         var = cols.join(registry, "global_index").orderBy("column")
-        values = self.atlas.read(f"values.{space}").withColumnRenamed("zarr_group", "dataset")
+        by_feature = False
+        if spec.pointer == "sparse" and space in self.wanted and self.atlas.has(f"copy.{space}"):
+            by_feature = ragged.use_feature_copy(at.count(), len(self.wanted[space]), ingest.covered(self.atlas, "copy", space, groups))
+        values = self.atlas.read(f"{'copy' if by_feature else 'values'}.{space}").withColumnRenamed("zarr_group", "dataset")
+        if by_feature:  # few features: their groups and numbers come first, so few row groups are read
+            wanted = bridge.join(cols.select("global_index"), "global_index").select("dataset", "local_index").distinct()
+            values = values.join(F.broadcast(wanted) if len(self.wanted[space]) <= 10_000 else wanted, ["dataset", "local_index"], "left_semi")
         out = {}
         for layer in self.layer_names.get(space, spec.must):
             v = values.where(F.col("layer") == layer)
@@ -217,12 +235,30 @@ class Query:
         able = [f for f, s in self.active().items() if "matrix" in S.SPACES[s].endpoints and there[f]]
         return obs, {f: self.matrix(f) for f in able}
 
-    def fragments(self, pointer: str = "chromatin_accessibility") -> DataFrame:
-        """uid, chrom, start, length of the fragments of the rows."""
-        at = self.rows([pointer]).select("uid", f"{pointer}.*")
-        v = self.atlas.read("values.chromatin_accessibility")
-        pairs = v.where("layer = 'starts'").select("zarr_group", "zarr_row", "local_index", F.col("value").alias("code"))
-        return pairs.join(at.select("uid", "zarr_group", "zarr_row"), ["zarr_group", "zarr_row"]).select("uid", "local_index", "code")
+    def fragments(self, pointer: str = "chromatin_accessibility", region: tuple[str, int, int] | None = None) -> DataFrame:
+        """uid, chrom, start, length of the fragments of the rows, on all chromosomes or those that overlap a half-open region.
+
+        A region reads the copy by position where all groups of the rows have one.
+        """
+        space = self._pointers()[pointer]
+        at = self.rows([pointer]).select("uid", f"{pointer}.*").select("uid", "zarr_group", "zarr_row")
+        groups = at.select("zarr_group").distinct()
+        genome = region is not None and ingest.covered(self.atlas, "genome", space, groups)
+        v = self.atlas.read(f"{'genome' if genome else 'values'}.{space}")
+        names = self.atlas.registry(space).select(F.col("uid").alias("feature_uid"), F.col("sequence_name").alias("chrom"))
+        local = self.atlas.read("datasets").where(F.col("feature_space") == space).join(self.atlas.read("layouts"), "layout_uid").join(names, "feature_uid").select("zarr_group", "local_index", "chrom")
+        if region is not None:
+            chrom, start, end = region
+            local = local.where(F.col("chrom") == chrom)
+            v = v.where((F.col("start") < end) & (F.col("start") + F.col("length") > start))
+        return v.join(local, ["zarr_group", "local_index"]).join(at, ["zarr_group", "zarr_row"]).select("uid", "chrom", "start", "length")
+
+    def crops(self, pointer: str, chunk: tuple[int, ...]) -> DataFrame:
+        """uid, layer, shape, dtype, data: the crop that each row's pointer names; chunk is the shape of the stored chunks."""
+        space = self._pointers()[pointer]
+        at = self.rows([pointer]).select("uid", F.xxhash64("uid").alias("box"), f"{pointer}.*")
+        got = images.crops(at.select("box", "zarr_group", "min_corner", "max_corner"), self.atlas.read(f"values.{space}"), chunk)
+        return at.select("uid", "box").join(got, "box").drop("box")
 
     def batches(self, size: int) -> DataFrame:
         """Metadata with batch and position."""

@@ -26,9 +26,19 @@ LAYOUTS = _t(layout_uid=S_, feature_uid=S_, local_index=I_, global_index=I_)
 VERSIONS = _t(version=I_, tables=S_, total_rows=I_, created_at=S_)
 SPARSE_VALUES = _t(zarr_group=S_, zarr_row=I_, local_index=I_, layer=S_, value=T.DoubleType())
 DENSE_VALUES = _t(zarr_group=S_, position=I_, layer=S_, values=T.ArrayType(T.DoubleType()))
+FRAGMENT_VALUES = _t(zarr_group=S_, zarr_row=I_, local_index=I_, start=I_, length=T.IntegerType())
+SPATIAL_VALUES = _t(zarr_group=S_, layer=S_, origin=T.ArrayType(I_), shape=T.ArrayType(I_), dtype=S_, data=T.BinaryType())
 REGISTRY = _t(uid=S_, global_index=I_)
 
 
+def value_schema(space: str) -> T.StructType:
+    """The columns of a feature space's value table."""
+    spec = S.SPACES[space]
+    if "fragments" in spec.endpoints:
+        return FRAGMENT_VALUES
+    return {"sparse": SPARSE_VALUES, "dense": DENSE_VALUES, "spatial": SPATIAL_VALUES}[spec.pointer]
+
+
 def _now() -> str:
     return datetime.datetime.now(datetime.UTC).isoformat()
 
@@ -58,11 +68,73 @@ class Atlas:
         for space, schema in registries.items():
             extra_fields = [f for f in schema.fields if f.name not in ("uid", "global_index")]
             store.create(f"registry.{space}", T.StructType([*REGISTRY.fields, *extra_fields]))
-            store.create(f"values.{space}", SPARSE_VALUES if S.SPACES[space].pointer == "sparse" else DENSE_VALUES)
+        spaces = {s for schema in obs.values() for s in S.pointers(schema).values()} | set(registries)
+        if lacking := [s for s in spaces if S.SPACES[s].has_features and s not in registries]:
+            raise ValueError(f"no registry for {sorted(lacking)}")
+        for space in sorted(spaces):
+            store.create(f"values.{space}", value_schema(space))
         for name, schema in {"datasets": DATASETS, "layouts": LAYOUTS, "versions": VERSIONS, **(extra or {})}.items():
             store.create(name, schema)
         return cls(store)
 
+    @classmethod
+    def exists(cls, spark: SparkSession, root: str) -> bool:
+        return Store(spark, root).version("datasets") >= 0
+
+    @classmethod
+    def create_or_open(cls, spark: SparkSession, root: str, obs: dict[str, T.StructType], registries: dict[str, T.StructType], extra: dict[str, T.StructType] | None = None) -> Atlas:
+        """The atlas at root, made if there is none; one whose obs tables differ in columns is refused."""
+        if not cls.exists(spark, root):
+            return cls.create(spark, root, obs, registries, extra)
+        atlas = cls.open(spark, root)
+        for name, schema in obs.items():
+            have = {f.name: f.dataType for f in atlas.obs(name).schema.fields if f.name != "_rowid"}
+            if have != {f.name: f.dataType for f in schema.fields}:
+                raise ValueError(f"obs table {name!r} is of another schema")
+        return atlas
+
+    def schemas(self) -> dict[str, T.StructType]:
+        """Every table's schema."""
+        return {t: self.read(t).schema for t in self.store.tables()}
+
+    def has(self, table: str) -> bool:
+        return table in self.versions if self.versions is not None else self.store.version(table) >= 0
+
+    def find_datasets(self, space: str | None = None, dataset: str | None = None, group: str | None = None, layout: str | None = None) -> DataFrame:
+        """The datasets that match all that is given."""
+        out = self.read("datasets")
+        for column, value in (("feature_space", space), ("dataset_uid", dataset), ("zarr_group", group), ("layout_uid", layout)):
+            if value is not None:
+                out = out.where(F.col(column) == value)
+        return out
+
+    def find_datasets_with_features(self, uids: list[str], space: str | None = None) -> DataFrame:
+        return L.datasets_with(self.read("layouts"), self.read("datasets"), uids, space)
+
+    def list_datasets(self) -> DataFrame:
+        return self.read("datasets").orderBy("dataset_uid", "zarr_group")
+
+    def layout(self, group: str, space: str) -> DataFrame:
+        """feature_uid, local_index, global_index of a group, by local index; features without number are an error."""
+        got = self.find_datasets(space, group=group).select("layout_uid").join(self.read("layouts"), "layout_uid").select("feature_uid", "local_index", "global_index").orderBy("local_index")
+        if got.where("global_index is null").take(1):
+            raise ValueError(f"features of {group} have no number: optimise the atlas")
+        return got
+
+    def table(self, name: str) -> DataFrame:
+        """A table of foreign keys, as create's extra names it."""
+        if name in ("datasets", "layouts", "versions") or "." in name or not self.has(name):
+            raise KeyError(name)
+        return self.read(name)
+
+    def upsert(self, name: str, rows: DataFrame, key: str = "uid") -> int:
+        """Adds rows of a table of foreign keys whose key is new; gives how many."""
+        new = L.insert_absent(self.table(name), rows, key)
+        n = new.count()
+        if n:
+            self.store.append(name, S.align(new, self.store.read(name).schema))
+        return n
+
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Atlas:
         store = Store(spark, root)
@@ -103,8 +175,8 @@ class Atlas:
     def register_dataset(self, dataset: str, group: str, space: str, features: DataFrame | None) -> str | None:
         """Adds a dataset and, if new, its layout: features (feature_uid, local_index). Gives the layout's uid."""
         layout = None
-        if self.read("datasets").where((F.col("feature_space") == space) & ((F.col("zarr_group") == group) | (F.col("dataset_uid") == dataset))).take(1):
-            raise ValueError(f"{space} has dataset {dataset!r} or group {group!r} already")
+        if self.read("datasets").where((F.col("feature_space") == space) & (F.col("zarr_group") == group)).take(1):
+            raise ValueError(f"{space} has group {group!r} already")
         if features is not None:
             if lost := [r.feature_uid for r in L.missing_features(features, self.registry(space)).take(5)]:
                 raise KeyError(f"not in the registry: {lost}")
@@ -149,6 +221,13 @@ class Atlas:
         if every is not None:
             n = self.store.version("layouts")
             self.store.rewrite("layouts", L.sync(self.store.read("layouts"), every.dropDuplicates(["uid"])), n)
+        for t in self.store.tables():
+            if t.startswith(("obs.", "values.")):  # many small folders become one
+                n = self.store.version(t)
+                if len(self.store.manifest(t, n)["folders"]) > 1:
+                    rows = self.store.read(t)
+                    order = [c for c in ("zarr_group", "zarr_row", "position", "_rowid") if c in rows.columns][:2]
+                    self.store.rewrite(t, rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows, n)
         self.refresh()
 
     def refresh(self) -> None:
