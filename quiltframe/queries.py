@@ -464,3 +464,6 @@ def set_and_drop(t):
 def stratified_events(t):
     n = K.summary(t.events, "user_id", {"n": ("count", "event_id")}).where("n >= 40")
     return n.join(t.events.groupBy("user_id").agg(F.min("event_id").alias("first_event")), "user_id")
+
+
+from quiltframe import atlas_queries  # noqa: E402, F401  adds its queries, by the helpers above
