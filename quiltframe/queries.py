@@ -11,13 +11,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quiltframe import schema as S
 from quiltframe.functions import ids, text
 from quiltframe.operators import curation as C
 from quiltframe.operators import intervals as I
 from quiltframe.operators import keys as K
 from quiltframe.operators import layouts as L
-from quiltframe.operators import limits, ragged, resolution, search
+from quiltframe.operators import limits, ragged, resolution, resolvers, search
+from quiltframe.plans import collection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -466,4 +469,55 @@ def stratified_events(t):
     return n.join(t.events.groupBy("user_id").agg(F.min("event_id").alias("first_event")), "user_id")
 
 
+@query("select value, resolved, confidence, n - 1 as others from (select p_brand as value, cast(p_partkey as varchar) as resolved, case when p_size > 45 then 1.0 else 0.9 end as confidence, count(*) over (partition by p_brand) as n, row_number() over (partition by p_brand order by p_size <= 45, cast(p_partkey as varchar)) as r from part) where r = 1 union all select 'DMSO', 'DMSO', 1.0, 0")
+def compound_names(t):
+    names = t.part.select(F.col("p_brand").alias("name"), F.col("p_partkey").cast("string").alias("id"), (F.col("p_size") > 45).alias("is_title"))
+    asked = t.part.select(F.concat("p_brand", F.lit(" sodium salt")).alias("v"), F.col("p_brand").alias("value")).select("value").distinct().union(t.spark.createDataFrame([("DMSO",)], "value string"))
+    return resolvers.compounds(asked, names).select("value", "resolved", "confidence", F.size("alternatives").cast("long").alias("others"))
+
+
+@query("select s_name as value, cast(s_suppkey as varchar) as resolved, 1.0 as confidence from supplier union all select concat('x ', replace(s_name, '#', ' ')), cast(s_suppkey as varchar), 0.7 from supplier where s_suppkey <= 5")
+def cell_line_names(t):
+    lines = t.supplier.select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.array(F.lower("s_name")).alias("synonyms"))
+    asked = t.supplier.select(F.col("s_name").alias("value")).union(t.supplier.where("s_suppkey <= 5").select(F.concat(F.lit("x "), F.replace("s_name", F.lit("#"), F.lit(" ")))))
+    return resolvers.cell_lines(asked, lines).select("value", "resolved", "confidence")
+
+
+@query("select c_custkey, coalesce(k, c_mktsegment) as c_mktsegment, k as segment_id from customer left join (select c_mktsegment as v, concat('EFO:', min(c_custkey)) as k from customer where c_mktsegment < 'H' group by 1) on v = c_mktsegment")
+def resolution_pass(t):
+    terms_ = t.customer.where("c_mktsegment < 'H'").groupBy(F.initcap(F.col("c_mktsegment")).alias("name")).agg(F.concat(F.lit("EFO:"), F.min("c_custkey")).alias("term_id")).withColumn("synonyms", F.lit("")).withColumn("obsolete", F.lit(False))
+    one, _ = resolvers.apply_pass(t.customer.select("c_custkey", "c_mktsegment"), "c_mktsegment", lambda v: resolvers.assays(v, terms_), {"resolved": "segment_id"})
+    two, _ = resolvers.apply_pass(one, "c_mktsegment", lambda v: resolvers.assays(v, terms_))
+    return two
+
+
+@query("select cast(o_orderkey as varchar) as uid, cast(c_custkey as varchar) as customer_uid, 'all' as dataset_uid from orders join customer on c_custkey = o_custkey")
+def final_tables(t):
+    schemas = {
+        "order": T.StructType([S.marked("uid", T.StringType()), S.marked("customer_uid", T.StringType(), registry_key="customer"), S.marked("dataset_uid", T.StringType())]),
+        "customer": T.StructType([S.marked("uid", T.StringType()), S.marked("name", T.StringType(), natural_key=True)]),
+    }
+    staged = {
+        "x.order": t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").cast("string").alias("uid"), F.col("c_name").alias("customer_uid_key"), "o_orderstatus"),
+        "customer": t.customer.select(F.col("c_custkey").cast("string").alias("uid"), F.col("c_name").alias("name"), "c_acctbal"),
+    }
+    return collection.finalise(staged, schemas, None, "all")["order"]
+
+
+@query("select x.uid, 'row' as kind from (select distinct s_suppkey as uid from supplier where s_suppkey % 3 = 0) x union all select s_suppkey, 'other' from supplier where s_suppkey % 3 <> 0")
+def uids_kept(t):
+    rows = t.supplier.select(F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey").cast("string")).otherwise(F.lit(" ")).alias("uid"), F.col("s_suppkey").cast("string").alias("acc"))
+    schema = T.StructType([S.marked("acc", T.StringType(), stable_uid=True)])
+    got = collection.assign_uids(rows, schema)
+    same = F.col("uid") == ids.stable_uid(F.col("acc"))
+    return got.select(F.col("acc").cast("long").alias("uid"), F.when(F.col("uid") == F.col("acc"), "row").when(same, "other").otherwise("wrong").alias("kind"))
+
+
+@query("select count(*) as n_rows, sum(case when n_regionkey = 0 then 1 else 0 end) as n_first, max(r_name) as last_name from nation join region on r_regionkey = n_regionkey")
+def stamped_rows(t):
+    obs = t.region.select(F.col("r_regionkey").cast("string").alias("barcode"), F.col("r_name").alias("uid"))
+    got = collection.stamp_uid(t.nation.select(F.concat(F.lit(" "), F.col("n_regionkey").cast("string"), F.lit(" ")).alias("barcode")), obs)
+    return got.agg(F.count("*").alias("n_rows"), F.count_if(F.trim("barcode") == "0").alias("n_first"), F.max("uid").alias("last_name"))
+
+
 from quiltframe import atlas_queries  # noqa: E402, F401  adds its queries, by the helpers above

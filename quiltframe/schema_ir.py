@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from quiltframe import schema as S
 
 KINDS = {"string": T.StringType(), "int": T.LongType(), "float": T.DoubleType(), "bool": T.BooleanType(), "datetime": T.TimestampType()}
-MARKERS = ("stable_uid", "registry_key", "polymorphic_registry_key", "ontology_aligned", "cross_reference", "summary", "enum")
+MARKERS = ("stable_uid", "registry_key", "polymorphic_registry_key", "ontology_aligned", "cross_reference", "summary", "enum", "natural_key")
 TABLE_KEYS = {"fields", "require_any", "equal_length"}
 
 
