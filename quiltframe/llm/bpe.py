@@ -18,6 +18,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from quiltframe.llm.words import hashed
+
 #: Chunks a worker remembers; beyond that it starts anew. It bounds memory, not results.
 REMEMBERED = 1_500_000
 
@@ -38,6 +40,9 @@ def spaced_chunks(text: str) -> list[str]:
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
+#: White space beyond ASCII's, and what str.split takes for it: texts that hold one are split by Python.
+_WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
 #: Characters whose lower case or composition may depend on others: texts that hold one keep their case.
 _BOUND = re.compile("[\u0130\u0300-\U0010ffff]")
 
@@ -47,6 +52,30 @@ def word_chunks(text: str) -> list[str]:
     return (text if _BOUND.search(text) else text.lower()).split()
 
 
+#: Bytes by what the splitting of lower-case ASCII makes of them: 0 white space, 1 letters, 2 digits, 3 others; a word with any of 4 is left whole.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
+_CLASS[97:123] = 1
+_CLASS[48:58] = 2
+_CLASS[65:91] = _CLASS[128:] = _CLASS[[39, 60]] = 4
+
+
+def pieces(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where what is encoded by itself begins and ends: runs of letters, single digits, runs of other characters, and words left whole."""
+    kind = np.zeros(len(raw) + 2, np.uint8)
+    kind[1:-1] = _CLASS[raw]
+    some = kind != 0
+    edge = np.flatnonzero(some[1:] != some[:-1])
+    whole = np.append(0, np.cumsum(kind[1:-1] == 4))
+    whole = whole[edge[1::2]] > whole[edge[0::2]]
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[edge[0::2][whole] + 1] += 1
+    inside[edge[1::2][whole] + 1] -= 1
+    inside = np.cumsum(inside, dtype=np.int8) > 0
+    cut = ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & ~(inside[1:] & inside[:-1])
+    return np.flatnonzero(cut & some[1:]), np.flatnonzero(cut[: len(raw) + 1] & some[:-1])
+
+
 class ChunkEncoder:
     """Texts to ids, as bytes of little-endian unsigned 16-bit numbers.
 
@@ -57,6 +86,47 @@ class ChunkEncoder:
     def __init__(self, words: Callable, text: Callable, spaced: bool):
         self.words, self.text, self.spaced = words, text, spaced
         self.known: dict[str, bytes | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """No words by hash: where the ids of each are in one array, and how many."""
+        self.place: dict[int, int] = {}
+        self.first, self.count, self.ids, self.n_ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint16), 0
+
+    def _encode_words(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that only ASCII white space parts, cut where the vocabulary's splitting cuts: pieces go by 64-bit hashes, all of a group at once."""
+        raw = [(t if _BOUND.search(t) else t.lower()).encode() for t in texts]
+        joined = b"\n".join(raw)
+        if not joined.strip():
+            return [b""] * len(texts)
+        data = np.frombuffer(joined, np.uint8)
+        start, end = pieces(data)
+        h = hashed(data, start, end)
+        unique, at, of = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.place) + len(unique) > REMEMBERED:
+            self._forget()
+        keys = unique.tolist()
+        new = [k for k, x in enumerate(keys) if x not in self.place]
+        for lo in range(0, len(new), 4_000):
+            some = new[lo : lo + 4_000]
+            ids = self.words([joined[start[at[k]] : end[at[k]]].decode() for k in some])
+            n = np.array([len(x) // 2 for x in ids])
+            a, b = len(self.place), len(self.place) + len(some)
+            while b > len(self.first):
+                self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
+            while self.n_ids + n.sum() > len(self.ids):
+                self.ids = np.resize(self.ids, 2 * len(self.ids))
+            self.first[a:b], self.count[a:b] = self.n_ids + np.cumsum(n) - n, n
+            self.ids[self.n_ids : self.n_ids + n.sum()] = np.frombuffer(b"".join(ids), "<u2")
+            self.n_ids += int(n.sum())
+            self.place.update(zip((keys[k] for k in some), range(a, b), strict=True))
+        word = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[of]
+        n = self.count[word]
+        upto = np.cumsum(n)
+        out = self.ids[np.arange(int(upto[-1])) - np.repeat(upto - n, n) + np.repeat(self.first[word], n)].astype("<u2").tobytes()
+        last = np.searchsorted(start, np.cumsum([len(r) + 1 for r in raw]))  # words of each text and those before
+        edge = (2 * np.append(0, upto)[last]).tolist()
+        return [out[a:b] for a, b in zip([0, *edge[:-1]], edge, strict=True)]
 
     def _learn(self, new: list[str]) -> None:
         if len(self.known) + len(new) > REMEMBERED:
@@ -83,10 +153,13 @@ class ChunkEncoder:
         out, at = [], 0
         while at < len(texts):  # a group of bounded size at a time
             group, chars = [], 0
-            while at < len(texts) and (not group or chars + len(texts[at]) < 500_000):
+            while at < len(texts) and (not group or chars + len(texts[at]) < (500_000 if self.spaced else 1_500_000)):
                 chars += len(texts[at])
                 group.append(texts[at])
                 at += 1
+            if not self.spaced and not any(map(_WIDE.search, group)):
+                out += self._encode_words(group)
+                continue
             cut = [spaced_chunks(t) if self.spaced else word_chunks(t) for t in group]
             new: set[str] = set()
             for chunks in cut:
@@ -147,7 +220,12 @@ def library_encoder(path: str, spaced: bool) -> ChunkEncoder:
 
     def following(chunks: list[str]) -> list[bytes]:
         """Plain chunks may follow one another (with a space, if they have none); their ids end where their bytes do."""
-        follow, rest = [c for c in chunks if plain(c)], [c for c in chunks if not plain(c)]
+        every = " ".join(chunks)
+        if not spaced and "<|" not in every and not _BOUND.search(every) and every == every.lower():
+            follow, rest = chunks, []
+        else:
+            fit = [plain(c) for c in chunks]
+            follow, rest = [c for c, f in zip(chunks, fit, strict=True) if f], [c for c, f in zip(chunks, fit, strict=True) if not f]
         got = dict.fromkeys(chunks, b"")
         if follow:
             ids = np.array(tok_text(("" if spaced else " ").join(follow)), "<u2")

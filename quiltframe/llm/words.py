@@ -24,15 +24,20 @@ def _spaces(raw: np.ndarray) -> np.ndarray:
 
 
 def _hash(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of some bytes, and where each begins; eight bytes of all words are mixed in at a time."""
-    lower = np.zeros(len(raw) + 8, np.uint8)
-    np.bitwise_or(raw, ((raw - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5), out=lower[: len(raw)])  # A-Z as a-z
+    """Hashes of the words of some bytes, A-Z as a-z, and where each begins."""
+    lower = np.bitwise_or(raw, ((raw - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
     gap = np.ones(len(raw) + 2, bool)
     gap[1:-1] = _spaces(raw)
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     start, end = edge[0::2], edge[1::2]
+    return hashed(lower, start, end), start
+
+
+def hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of pieces of some bytes; eight bytes of all pieces are mixed in at a time."""
+    raw = np.append(raw, np.zeros(8, np.uint8))
     size = end - start
-    eight = np.ndarray((len(raw),), "<u8", lower, strides=(1,))
+    eight = np.ndarray((len(raw) - 8,), "<u8", raw, strides=(1,))
     h = mix((eight[start] & _MASKS[np.minimum(size, 8)]) ^ size.astype(U) * U(0x2545F4914F6CDD1D))
     left = np.flatnonzero((size > 8) & (size <= _LONG))
     for at in range(8, _LONG, 8):
@@ -41,8 +46,8 @@ def _hash(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h[left] = mix((h[left] + U(0x9E3779B97F4A7C15)) ^ (eight[start[left] + at] & _MASKS[np.minimum(size[left] - at, 8)]))
         left = left[size[left] > at + 8]
     for k in np.flatnonzero(size > _LONG):
-        h[k] = int.from_bytes(blake2b(lower[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
-    return h, start
+        h[k] = int.from_bytes(blake2b(raw[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
