@@ -135,7 +135,7 @@ def atlas_batches(t):
     return rows.select("batch", "position", "uid", F.size("indices").cast("long").alias("n"), F.aggregate("counts", F.lit(0.0), lambda a, b: a + b).alias("total"))
 
 
-@query(f"with v as (select uid, count(*) as n from (select distinct uid, g from {_L}) group by uid), s as (select row_number() over () as k from {_OBS}) select count(*) as n_rows, max(k) // 64 + 1 as n_batches, sum(n) as n_entries from (select n, (row_number() over () - 1) as k from v)")
+@query(f"with v as (select uid, count(*) as n from (select distinct uid, g from {_L}) group by uid) select count(*) as n_rows, max(k) // 64 + 1 as n_batches, cast(sum(n) as bigint) as n_entries from (select n, (row_number() over () - 1) as k from v)")
 def atlas_epoch(t):
     data = results.UnimodalDataset(orders(t), "gene_expression", [], size=64, seed=5)
     numbered = K.batches(K.shuffled(data.rows, "ordinal", data.seed, 2), data.size, "order")

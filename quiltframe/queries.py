@@ -469,14 +469,14 @@ def stratified_events(t):
     return n.join(t.events.groupBy("user_id").agg(F.min("event_id").alias("first_event")), "user_id")
 
 
-@query("select value, resolved, confidence, n - 1 as others from (select p_brand as value, cast(p_partkey as varchar) as resolved, case when p_size > 45 then 1.0 else 0.9 end as confidence, count(*) over (partition by p_brand) as n, row_number() over (partition by p_brand order by p_size <= 45, cast(p_partkey as varchar)) as r from part) where r = 1 union all select 'DMSO', 'DMSO', 1.0, 0")
+@query("select value, resolved, confidence, n - 1 as others from (select p_brand as value, cast(p_partkey as varchar) as resolved, cast(case when p_size > 45 then 1.0 else 0.9 end as double) as confidence, count(*) over (partition by p_brand) as n, row_number() over (partition by p_brand order by p_size <= 45, cast(p_partkey as varchar)) as r from part) where r = 1 union all select 'DMSO', 'DMSO', cast(1.0 as double), 0")
 def compound_names(t):
     names = t.part.select(F.col("p_brand").alias("name"), F.col("p_partkey").cast("string").alias("id"), (F.col("p_size") > 45).alias("is_title"))
     asked = t.part.select(F.concat("p_brand", F.lit(" sodium salt")).alias("v"), F.col("p_brand").alias("value")).select("value").distinct().union(t.spark.createDataFrame([("DMSO",)], "value string"))
     return resolvers.compounds(asked, names).select("value", "resolved", "confidence", F.size("alternatives").cast("long").alias("others"))
 
 
-@query("select s_name as value, cast(s_suppkey as varchar) as resolved, 1.0 as confidence from supplier union all select concat('x ', replace(s_name, '#', ' ')), cast(s_suppkey as varchar), 0.7 from supplier where s_suppkey <= 5")
+@query("select s_name as value, cast(s_suppkey as varchar) as resolved, cast(1.0 as double) as confidence from supplier union all select concat('x ', replace(s_name, '#', ' ')), cast(s_suppkey as varchar), cast(0.7 as double) from supplier where s_suppkey <= 5")
 def cell_line_names(t):
     lines = t.supplier.select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.array(F.lower("s_name")).alias("synonyms"))
     asked = t.supplier.select(F.col("s_name").alias("value")).union(t.supplier.where("s_suppkey <= 5").select(F.concat(F.lit("x "), F.replace("s_name", F.lit("#"), F.lit(" ")))))
@@ -513,7 +513,7 @@ def uids_kept(t):
     return got.select(F.col("acc").cast("long").alias("uid"), F.when(F.col("uid") == F.col("acc"), "row").when(same, "other").otherwise("wrong").alias("kind"))
 
 
-@query("select count(*) as n_rows, sum(case when n_regionkey = 0 then 1 else 0 end) as n_first, max(r_name) as last_name from nation join region on r_regionkey = n_regionkey")
+@query("select count(*) as n_rows, cast(sum(case when n_regionkey = 0 then 1 else 0 end) as bigint) as n_first, max(r_name) as last_name from nation join region on r_regionkey = n_regionkey")
 def stamped_rows(t):
     obs = t.region.select(F.col("r_regionkey").cast("string").alias("barcode"), F.col("r_name").alias("uid"))
     got = collection.stamp_uid(t.nation.select(F.concat(F.lit(" "), F.col("n_regionkey").cast("string"), F.lit(" ")).alias("barcode")), obs)
