@@ -60,10 +60,14 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files that nothing refers to any more; without, they stay until the driver's memory fills."""
+    """Lets Spark's cleaner drop the shuffle files that nothing refers to any more; without, they stay until the driver's memory fills.
+
+    The listener bus keeps the last query until another one ends, so an empty one is run.
+    """
     import gc
 
     gc.collect()
+    spark.range(1).count()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltframe.llm.common import cut, frugal, parallelism, release, rows, table, written
-from quiltframe.llm.components import components
+from quiltframe.llm.common import frugal, parallelism, release, rows, table, written
 from quiltframe.llm.op5_shingle_join import Join, _runs
 from quiltframe.llm.words import U, mix, word_hashes
 
@@ -18,7 +18,7 @@ from quiltframe.llm.words import U, mix, word_hashes
 #: 0 for no word, 1 for one, else 1 more than 7 times the binary logarithm of the count.
 BUCKETS = 1 << 24
 SLICES = 64
-GONE, PAIR, HOT = 0, 1, 2
+GONE, PAIR, HOT, REST = 0, 1, 2, 3
 
 
 def token_sets(lines: list[str]) -> list[np.ndarray]:
@@ -102,17 +102,15 @@ def prefixes(h: np.ndarray, of: np.ndarray, n_lines: int, rarity: np.ndarray, jo
     return cls, n, sketch, h[keep], of[keep], place[keep]
 
 
-def _pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, place: np.ndarray, sketch: np.ndarray, join: Join, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes that share a prefix token within the bounds of size, place and sketch; runs are gone through by distance.
+def _close(key: np.ndarray, n: np.ndarray, place: np.ndarray, sketch: np.ndarray, join: Join, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """i, j and flips for entries, ordered by token and size, of one token within the bounds of size, place and sketch; runs are gone through by distance.
 
     A sketch is 96 parities: a token that two lines don't share flips one at most. With sides only pairs across them count.
+    No i and no j is twice in what is given at once, and no list of all pairs is held.
     """
-    order = np.lexsort((cls, n, key))  # within a run by size
-    key, cls, n, place, sketch = key[order], cls[order], n[order].astype(np.int64), place[order].astype(np.int64), sketch[order]
-    side = None if side is None else side[order]
     starts = _runs(key)
     end = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key)))) if len(key) else starts
-    at, step, found, held = np.arange(len(key)), 1, [np.zeros((2, 0), np.int64)], 0
+    at, step = np.arange(len(key)), 1
     while True:
         at = at[at + step < end[at]]
         at = at[n[at + step] * join.p <= n[at] * join.q]  # sizes grow with the step, so no later one fits either
@@ -120,22 +118,19 @@ def _pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, place: np.ndarray, s
             break
         for lo in range(0, len(at), 250_000):
             i = at[lo : lo + 250_000]
-            j = i + step
-            far = join.far(n[i], n[j])
-            ok = place[i] + place[j] <= far
-            if side is not None:
-                ok &= side[i] != side[j]
-            i, j, far = i[ok], j[ok], far[ok]
-            ok = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= far
-            i, j = i[ok], j[ok]
-            found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]))
-            held += len(i)
-        if held > 1_000_000:
-            found = [_distinct(found)]
-            held = 0
+            yield _bounded(i, i + step, n, place, sketch, join, side)
         step += 1
-    a, b = _distinct(found)
-    return a, b
+
+
+def _bounded(i: np.ndarray, j: np.ndarray, n: np.ndarray, place: np.ndarray, sketch: np.ndarray, join: Join, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    far = join.far(n[i], n[j])
+    ok = place[i] + place[j] <= far
+    if side is not None:
+        ok &= side[i] != side[j]
+    i, j, far = i[ok], j[ok], far[ok]
+    flips = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1)
+    ok = flips <= far
+    return i[ok], j[ok], flips[ok].astype(np.int64)
 
 
 def _distinct(pairs: list[np.ndarray]) -> np.ndarray:
@@ -148,12 +143,13 @@ def _distinct(pairs: list[np.ndarray]) -> np.ndarray:
 
 #: The columns of an entry that follow its token, and their types; n, place and number are of 2 bytes where all of a blob fit.
 ENTRY = {"cls": "<i8", "n": "", "place": "", "number": "", "low": "<u8", "high": "<u4", "doc": "<u4"}
-#: GONE: key, h, number of a line. PAIR: a is a partition, blob pairs for it. HOT: a is a token, b a block of its run that meets blocks number to last.
+#: GONE: key, h, number of a line. PAIR: a is a partition, b a unit, blob pairs for a. HOT: a is a token, b a block of its run that meets
+#: blocks number to last. REST: b is a unit, blob its entries that have candidates. A unit is a partition of tokens or two blocks.
 FOUND = "kind int, a long, b long, key long, h long, number long, last long, blob binary"
 NAMES = ["kind", "a", "b", "key", "h", "number", "last", "blob"]
 TYPES = [pa.int32()] + [pa.int64()] * 6 + [pa.binary()]
-#: Both classes of a pair and where their first lines are.
-PAIRS = ["a", "b", "key", "h", "number", "key2", "h2", "number2"]
+#: The classes of a later and an earlier line, where their first lines are, and whether the unit has more earlier candidates.
+PAIRS = ["a", "b", "key", "h", "number", "key2", "h2", "number2", "more"]
 
 
 def _packed(sig: np.ndarray, col: dict[str, np.ndarray], keys: np.ndarray, hs: np.ndarray) -> bytes:
@@ -190,20 +186,80 @@ def _found(kind: int, **cols: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(have[c], t) if c in have else pa.nulls(m, t) for c, t in zip(NAMES, TYPES, strict=True)], NAMES)
 
 
-def _met(col: dict[str, np.ndarray], join: Join, parts: int, side: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows of kind PAIR for entries of which each token and class has one."""
-    a, b = _pairs(col["sig"], col["cls"], col["n"], col["place"], np.stack([col["low"], col["high"].astype(U)], axis=1), join, side)
-    if not len(a):
+def _by_size(col: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Entries by token and size, their sketches, and their ranks by (key, h, number)."""
+    o = np.lexsort((col["n"], col["sig"]))
+    col = {c: x[o] for c, x in col.items()} | {c: col[c][o].astype(np.int64) for c in ("n", "place")}
+    rank = np.empty(len(o), np.int64)
+    rank[np.lexsort((col["number"], col["h"], col["key"]))] = np.arange(len(o))
+    return col, np.stack([col["low"], col["high"].astype(U)], axis=1), rank
+
+
+def _sent(col: dict[str, np.ndarray], late: np.ndarray, early: np.ndarray, more: np.ndarray, unit: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows of kind PAIR for pairs of entries, to the partitions of their later classes."""
+    if not len(late):
         return
-    cls, at = np.unique(col["cls"], return_index=True)
-    i, j = at[np.searchsorted(cls, a)], at[np.searchsorted(cls, b)]
-    pairs = np.stack([a, b, *(col[c][k].astype(np.int64) for k in (i, j) for c in ("key", "h", "number"))])
-    part = a % parts
+    pairs = np.stack([col["cls"][late], col["cls"][early], *(col[c][k].astype(np.int64) for k in (late, early) for c in ("key", "h", "number")), more.astype(np.int64)])
+    part = pairs[0] % parts
     order = np.argsort(part, kind="stable")
     pairs, part = pairs[:, order], part[order]
     start = _runs(part)
     blobs = [pairs[:, x:y].astype("<i8").tobytes() for x, y in zip(start, np.append(start[1:], len(part)), strict=True)]
-    yield from _found(PAIR, a=part[start], blob=np.array(blobs, object))
+    yield from _found(PAIR, a=part[start], b=np.full(len(start), unit), blob=np.array(blobs, object))
+
+
+def _met(col: dict[str, np.ndarray], join: Join, parts: int, unit: int, side: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows for entries of which each token and class has one: each with its likeliest earlier candidate, and what it takes to find the others.
+
+    A line goes by one earlier match, whichever it is, so the pairs of lines that are all alike, which grow as their square, are never listed.
+    """
+    col, sketch, rank = _by_size(col if side is None else col | {"side": side})
+    side = col.pop("side", None)
+    size, cls = len(rank), col["cls"]
+    best, with_, many, met = np.full(size, np.iinfo(np.int64).max), np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, bool)
+    for i, j, flips in _close(col["sig"], col["n"], col["place"], sketch, join, side):
+        later = rank[i] > rank[j]
+        for late, early, f in ((i[later], j[later], flips[later]), (j[~later], i[~later], flips[~later])):
+            score = f << 56 | cls[early] >> 7  # the same choice under every token that sees both
+            better = score < best[late]
+            best[late[better]], with_[late[better]] = score[better], early[better]
+            many[late] += 1
+        met[i] = met[j] = True
+    late = np.flatnonzero(many)
+    if not len(late):
+        return
+    yield from _sent(col, late, with_[late], many[late] > 1, unit, parts)
+    start = _runs(col["sig"])
+    open_ = np.maximum.reduceat(many, start) > 1
+    keep = np.flatnonzero(met & np.repeat(open_, np.diff(np.append(start, size))))
+    edge = np.append(_runs(col["sig"][keep]), len(keep))
+    lo = 0
+    while lo < len(edge) - 1:
+        hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + 200_000, "right")) - 1)
+        k = keep[edge[lo] : edge[hi]]
+        c = {name: x[k] for name, x in col.items()}
+        blob = _packed(c["sig"] << U(16), c | {"doc": np.arange(len(k))}, c["key"], c["h"])
+        yield from _found(REST, b=np.array([unit]), blob=np.array([blob], object))
+        lo = hi
+
+
+def _all_of(col: dict[str, np.ndarray], late: np.ndarray, join: Join, parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows of kind PAIR for every earlier candidate of the entries of some classes."""
+    col, sketch, rank = _by_size(col)
+    start = _runs(col["sig"])
+    length = np.diff(np.append(start, len(rank)))
+    first, length = np.repeat(start, length), np.repeat(length, length)
+    asks = np.flatnonzero(np.isin(col["cls"], late))
+    total, lo = np.cumsum(length[asks]), 0
+    while lo < len(asks):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 500_000, "right")))
+        m = length[asks[lo:hi]]
+        i = np.repeat(asks[lo:hi], m)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m) + first[i]
+        ok = (rank[j] < rank[i]) & join.sized(col["n"][i], col["n"][j])
+        i, j, _ = _bounded(i[ok], j[ok], col["n"], col["place"], sketch, join)
+        yield from _sent(col, i, j, np.zeros(len(i), bool), -1, parts)
+        lo = hi
 
 
 def removed_lines(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_tokens: int = 5, run: int = 4_096) -> DataFrame:
@@ -217,6 +273,9 @@ def removed_lines(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_toke
     token sees every copy and the partitions of all its tokens agree which is
     the first. A token that more than ``run`` classes share is cut into blocks,
     whose pairs are spread over tasks of their own.
+
+    Under each token a line first meets the likeliest of its earlier candidates
+    alone. Only lines that no such pair removes meet all the others.
     """
     spark = docs.sparkSession
     join = Join(*threshold)
@@ -300,7 +359,7 @@ def removed_lines(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_toke
             start = _runs(sig)
             length = np.diff(np.append(start, len(sig)))
             much = np.repeat(length, length) if len(sig) else length
-            yield from _met({c: x[order[(much > 1) & (much <= run)]] for c, x in col.items()}, join, parts)
+            yield from _met({c: x[order[(much > 1) & (much <= run)]] for c, x in col.items()}, join, parts, p)
             for k in np.flatnonzero(length > run):
                 o = order[start[k] : start[k] + length[k]]
                 o = o[np.lexsort((col["cls"][o], col["n"][o]))]
@@ -316,56 +375,112 @@ def removed_lines(docs: DataFrame, threshold: tuple[int, int] = (4, 5), min_toke
     def across(key: tuple, t: pa.Table) -> pa.Table:
         cols = [_unpacked([x]) for x in t["blob"].to_pylist()]
         side = np.repeat(np.arange(len(cols)), [len(c["sig"]) for c in cols]) if len(cols) > 1 else None
-        return pa.Table.from_batches(list(_met({c: np.concatenate([x[c] for x in cols]) for c in cols[0]}, join, parts, side)), pa.schema(list(zip(NAMES, TYPES, strict=True))))
+        unit = xxhash.xxh3_64_intdigest(repr([k.as_py() for k in key]).encode()) >> 1
+        return pa.Table.from_batches(list(_met({c: np.concatenate([x[c] for x in cols]) for c in cols[0]}, join, parts, unit, side)), pa.schema(list(zip(NAMES, TYPES, strict=True))))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: dict[int, list[bytes]] = {}
-        for part, some in rows(batches, "a", "blob"):
-            for p, b in zip(part, some, strict=True):
-                blobs.setdefault(p, []).append(b)
-        for p in list(blobs):
-            pairs = _distinct([np.frombuffer(x, "<i8").reshape(len(PAIRS), -1) for x in blobs.pop(p)])
+        held = [np.frombuffer(x, "<i8").reshape(len(PAIRS), -1)[:-1] for (some,) in rows(batches, "blob") for x in some]
+        if held:
+            pairs = _distinct(held)
+            held.clear()
             for at in range(0, pairs.shape[1], 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in pairs], PAIRS)
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in pairs], PAIRS[:-1])
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kinds, some in rows(batches, "kind", "blob"):
+            held = []
+            for kind, x in zip(kinds, some, strict=True):
+                if kind == PAIR:
+                    p = np.frombuffer(x, "<i8").reshape(len(PAIRS), -1)
+                    held += [p[[0, 2, 3, 4]], p[[1, 5, 6, 7]]]
+                else:
+                    col = _unpacked([x])
+                    held.append(np.stack([col[c].astype(np.int64) for c in ("cls", "key", "h", "number")]))
+            if held:
+                held = np.concatenate(held, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[:, np.unique(held[0], return_index=True)[1]]], ["cls", "key", "h", "number"])
+
+    def unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, held = [], []
+        for units, cls, some in rows(batches, "unit", "cls", "blob"):
+            for u, c, x in zip(units, cls, some, strict=True):
+                if x is None:
+                    done.append(c)
+                else:
+                    p = np.frombuffer(x, "<i8").reshape(len(PAIRS), -1)
+                    late = p[0, p[-1] > 0]
+                    held.append(np.stack([np.full(len(late), u), late]))
+        if held:
+            u, c = np.concatenate(held, axis=1)
+            left = ~np.isin(c, done)
+            yield pa.RecordBatch.from_arrays([pa.array(u[left]), pa.array(c[left])], ["unit", "cls"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late: dict[int, list[int]] = {}
+        held: list[tuple[int, bytes]] = []
+        for units, cls, some in rows(batches, "unit", "cls", "blob"):
+            for u, c, x in zip(units, cls, some, strict=True):
+                if x is None:
+                    late.setdefault(u, []).append(c)
+                else:
+                    held.append((u, x))
+        for u, x in held:
+            if u in late:
+                yield from _all_of(_unpacked([x]), np.array(late[u]), join, parts)
+
+    def by_part(df: DataFrame, part: Column, n: int, *names: str) -> DataFrame:
+        return df.withColumn("part", F.pmod(F.pmod(part, F.lit(parts)), F.lit(n)).cast("int")).select("part", *names).repartitionById(n, F.col("part"))
 
     found = written(docs.mapInArrow(frugal(emit), "part int, blob binary").repartitionById(parts, F.col("part")).mapInArrow(frugal(reduce), FOUND))
-    pairs = found.where(f"kind = {PAIR}")
+    met = found.where(f"kind in ({PAIR}, {REST})")
     hot = found.where(f"kind = {HOT}")
     if not hot.isEmpty():
         sent = hot.select(F.col("a").alias("token"), F.col("b").alias("mine"), F.explode(F.sequence("number", "last")).alias("other"), "blob")
         sent = sent.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "blob")
-        pairs = pairs.unionByName(sent.repartition(parts, "token", "i", "j").groupBy("token", "i", "j").applyInArrow(across, FOUND))
-    pairs = written(pairs.select("a", "blob").repartitionById(parts, F.col("a").cast("int")).mapInArrow(frugal(distinct), ", ".join(f"{c} long" for c in PAIRS)))
-    later = written(_verified(docs, pairs, join, parts))  # its shuffle of the texts is gone before the caller's
-    return found.where(f"kind = {GONE}").select("key", "h", "number").union(later).groupBy("key", "h").agg(F.collect_set("number").alias("gone"))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, join: Join, parts: int, block: int = 8_192) -> DataFrame:
-    """key, h, number of the later line of each pair that is linked; first lines go once to each block of their component."""
-    root = components(pairs).select(F.col("node").alias("a"), "root")
-    size = root.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    here = F.struct("key", "h", "number")
-    there = F.struct(F.col("key2").alias("key"), F.col("h2").alias("h"), F.col("number2").alias("number"))
-    block_of = [F.pmod(F.xxhash64(c), F.col("blocks")).cast("int") for c in "ab"]
-    placed = cut(pairs.join(root.join(size, "root"), "a").select("root", "blocks", "a", "b", here.alias("at_a"), there.alias("at_b"), block_of[0].alias("ba"), block_of[1].alias("bb")))
-    nodes = placed.select("root", "blocks", F.col("a").alias("cls"), F.col("ba").alias("block"), "at_a.*").union(placed.select("root", "blocks", "b", "bb", "at_b.*")).distinct()
-    wanted = nodes.groupBy("key", "h").agg(F.collect_list(F.struct("number", "cls", "root", "blocks", "block")).alias("some"))  # of one document
+        met = met.unionByName(written(sent.repartition(parts, "token", "i", "j").groupBy("token", "i", "j").applyInArrow(across, FOUND)))
+    lines = written(_lines(docs, met.select("kind", "blob").mapInArrow(frugal(nodes), "cls long, key long, h long, number long")))  # its shuffle of the texts is gone before the caller's
+    columns = ", ".join(f"{c} long" for c in PAIRS[:-1])
+    pairs = met.where(f"kind = {PAIR}")
+    first = written(_verified(lines, by_part(pairs, F.col("a"), parts, "blob").mapInArrow(frugal(distinct), columns), join, parts))
+    gone = found.where(f"kind = {GONE}").select("key", "h", "number").union(first.select("key", "h", "number"))
+    rest = met.where(f"kind = {REST}").select(F.col("b").alias("unit"), F.lit(None).cast("long").alias("cls"), "blob")
+    few = max(8, parts // 4)  # hardly any line is left
+    if not rest.isEmpty():
+        settled = first.select("a", F.lit(None).cast("long").alias("unit"), F.col("a").alias("cls"), F.lit(None).cast("binary").alias("blob"))
+        tried = pairs.select("a", F.col("b").alias("unit"), F.lit(None).cast("long").alias("cls"), "blob").union(settled)
+        asked = by_part(tried, F.col("a"), few, "unit", "cls", "blob").mapInArrow(frugal(unsettled), "unit long, cls long").select("unit", "cls", F.lit(None).cast("binary").alias("blob"))
+        more = by_part(rest.union(asked), F.col("unit"), few, "unit", "cls", "blob").mapInArrow(frugal(others), FOUND)
+        more = by_part(more, F.col("a"), few, "blob").mapInArrow(frugal(distinct), columns)
+        gone = gone.union(written(_verified(lines, more, join, few)).select("key", "h", "number"))
+    return gone.groupBy("key", "h").agg(F.collect_set("number").alias("gone"))
+
+
+def _lines(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """cls, text: the lines of docs that nodes (cls, key, h, number) name; equal rows give theirs each."""
+    wanted = nodes.groupBy("key", "h").agg(F.collect_set(F.struct("number", "cls")).alias("some"))  # of one document
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             some = b.column(1)
             edge, flat = some.offsets.to_numpy(), some.flatten()
             edge = edge - edge[0]
-            col = {c: flat.field(c).to_numpy() for c in ("number", "cls", "root", "blocks", "block")}
+            number = flat.field("number").to_numpy()
             out: list[str] = []
             for k in range(b.num_rows):
                 lines = b.column(0)[k].as_py().split("\n")
-                out += [lines[i] for i in col["number"][edge[k] : edge[k + 1]]]
-            yield pa.RecordBatch.from_arrays([pa.array(col["root"]), pa.array(col["blocks"]), pa.array(col["block"]), pa.array(col["cls"]), pa.array(out, pa.string())], ["root", "blocks", "block", "a", "text"])
+                out += [lines[i] for i in number[edge[k] : edge[k + 1]]]
+            yield pa.RecordBatch.from_arrays([flat.field("cls"), pa.array(out, pa.string())], ["cls", "text"])
+
+    return docs.join(wanted, ["key", "h"]).select("text", "some").mapInArrow(frugal(cut_out), "cls long, text string")
+
 
-    lines = docs.join(wanted, ["key", "h"]).select("text", "some").mapInArrow(frugal(cut_out), "root long, blocks int, block int, a long, text string")
-    sent = lines.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "a", F.lit(None).cast("long").alias("b"), "text", *[F.lit(None).cast("long").alias(c) for c in ("key", "h", "number")])
-    asked = placed.select("root", F.least("ba", "bb").alias("i"), F.greatest("ba", "bb").alias("j"), "a", "b", F.lit(None).cast("string").alias("text"), F.greatest("at_a", "at_b").alias("at")).select("root", "i", "j", "a", "b", "text", "at.*")
+def _verified(lines: DataFrame, pairs: DataFrame, join: Join, parts: int) -> DataFrame:
+    """a, key, h, number of the later line of each pair that is linked; a line goes once to each partition with pairs of it."""
+    placed = pairs.withColumn("part", F.pmod("a", F.lit(parts)).cast("int"))
+    needed = placed.select("part", F.explode(F.array("a", "b")).alias("cls")).distinct()
+    none = [F.lit(None).cast("long").alias(c) for c in ("b", "key", "h", "number")]
+    sent = lines.join(needed, "cls").select("part", F.col("cls").alias("a"), none[0], "text", *none[1:])
+    asked = placed.select("part", "a", "b", F.lit(None).cast("string").alias("text"), "key", "h", "number")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, asks = [], [], [np.zeros((5, 0), np.int64)]
@@ -378,8 +493,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, join: Join, parts: int, block:
             asks.append(np.stack([pair.column(k).to_numpy() for k in (0, 1, 3, 4, 5)]))
         if not texts:
             return
-        # equal rows, and blocks of one component that meet here, give a line twice
-        cls, at = np.unique(np.concatenate(ids), return_index=True)
+        cls, at = np.unique(np.concatenate(ids), return_index=True)  # equal rows give a line twice
         words, of = word_hashes([texts[k] for k in at])
         del texts
         words, of = words[(o := np.lexsort((words, of)))], of[o]
@@ -389,6 +503,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, join: Join, parts: int, block:
         n = np.bincount(of, minlength=len(cls))
         edge = np.append(0, np.cumsum(n))
         a, b, *where = np.concatenate(asks, axis=1)
+        late = a
         a, b = np.searchsorted(cls, a), np.searchsorted(cls, b)
         both, lo = np.cumsum(n[a] + n[b]), 0
         while lo < len(a):
@@ -397,10 +512,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, join: Join, parts: int, block:
             got.sort()
             common = np.bincount(got[1:][got[1:] == got[:-1]] >> 32, minlength=hi - lo)
             ok = lo + np.flatnonzero(join.q * common >= join.p * (n[a[lo:hi]] + n[b[lo:hi]] - common))
-            yield pa.RecordBatch.from_arrays([pa.array(w[ok]) for w in where], ["key", "h", "number"])
+            ok = ok[np.unique(late[ok], return_index=True)[1]]  # a line goes once
+            yield pa.RecordBatch.from_arrays([pa.array(w[ok]) for w in (late, *where)], ["a", "key", "h", "number"])
             lo = hi
 
-    return sent.union(asked).repartition(parts, "root", "i", "j").select("a", "b", "text", "key", "h", "number").mapInArrow(frugal(verify), "key long, h long, number long")
+    return sent.union(asked).repartitionById(parts, F.col("part")).select("a", "b", "text", "key", "h", "number").mapInArrow(frugal(verify), "a long, key long, h long, number long")
 
 
 def _spread(edge: np.ndarray, n: np.ndarray, which: np.ndarray, words: np.ndarray) -> np.ndarray:

@@ -121,3 +121,34 @@ def test_tokens_of_many_lines(spark, run):
     keyed = spark.createDataFrame(docs, "key long, text string").select("key", F.xxhash64("text").alias("h"), "text")
     gone = {r.key: set(r.gone) for r in op.removed_lines(keyed, run=run).collect()}
     assert {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in docs} == brute(docs)
+
+
+def alike(n_docs):
+    """Documents of five lines each, nearly all of which are alike."""
+    g = np.random.default_rng(3)
+    out = []
+    for i in range(n_docs):
+        lines = []
+        for _ in range(5):
+            b = [f"s{k}" for k in range(20)]
+            for _ in range(int(g.integers(0, 4))):
+                b[int(g.integers(20))] = f"v{g.integers(3_000)}"
+            lines.append(" ".join(b))
+        out.append((i, "\n".join(lines)))
+    return out
+
+
+def test_pairs_of_like_lines_are_not_listed(spark, monkeypatch):
+    """What is kept between the steps grows with the lines that are alike, not with their pairs."""
+    rows_of, real = [], op.written
+
+    def seen(df):
+        out = real(df)
+        rows_of.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(op, "written", seen)
+    docs = alike(300)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in op.dedup(df).collect()} == brute(docs)
+    assert sum(n for c, n in rows_of if "key2" in c) < 5 * 5 * len(docs)
