@@ -77,3 +77,26 @@ def test_registered():
 def test_clashing_names(spark, clash):
     docs = spark.createDataFrame([(1, "a b c d e f\na b c d e f", "x"), (2, "a b c d e f", "y")], f"doc_id long, text string, {clash} string")
     assert sorted((r.doc_id, r.n_removed, r[clash]) for r in op1_line_dedup.dedup(docs).collect()) == [(1, 1, "x"), (2, 1, "y")]
+
+
+def test_memory_is_given_back(spark, monkeypatch):
+    """Each stage after the first begins with small heaps, and workers hold few texts of a batch at once."""
+    import pyarrow as pa
+
+    from quiltframe.llm import common
+
+    batch = pa.RecordBatch.from_arrays([pa.array([f"t{i}" for i in range(2_500)]), pa.array(range(2_500))], ["text", "id"])
+    got = list(common.rows([batch, batch.slice(0, 0)], "id", "text"))
+    assert max(len(t) for _, t in got) <= common.ROWS and [x for i, _ in got for x in i] == list(range(2_500))
+    heap = spark.sparkContext._jvm.Runtime.getRuntime()
+    monkeypatch.setattr(pipe, "trim", lambda s: (calls.append(1), common.trim(s)))
+    calls = []
+    waste = spark.range(200_000).selectExpr("repeat(cast(id as string), 200) as x").collect()
+    del waste
+    before = heap.totalMemory() - heap.freeMemory()
+    docs = spark.createDataFrame([(1, "one two three", "en", "s", 13)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in pipe.STAGES[1:]:
+        assert stage(spark, docs, "").count() >= 1
+    assert len(calls) == 4
+    common.trim(spark)
+    assert heap.totalMemory() - heap.freeMemory() < before
