@@ -100,3 +100,26 @@ def test_documents_without_id(spark):
     docs = [(2, "a b c"), (1, "a b c"), (None, "a b c"), (None, None)]
     got = sorted((tuple(r) for r in op.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(1, 2, 1, 1), (2, 2, 1, 1), (None, None, 0, None), (None, None, 0, None)], key=str)
+
+
+def test_sketches_are_gathered_by_words():
+    """Folded sketches agree one by one, and take little memory beside the result."""
+    import tracemalloc
+
+    g = np.random.default_rng(4)
+    sets = [np.unique(g.integers(0, 1 << 62, int(n)).astype(op.U)) for n in g.integers(1, 2_000, 300)]
+    blobs = [op.long_sketch(s) for s in sets]
+    offset = np.cumsum([0, *map(len, blobs)]) // 8
+    flat, words = np.frombuffer(b"".join(blobs), op.U), np.diff(offset)
+    for w in (4, 8):
+        which = g.choice(np.flatnonzero(words >= w), 20_000)
+        tracemalloc.start()
+        got = op.folded(flat, offset, words, which, w)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        for k in range(0, len(which), 97):
+            x = flat[offset[which[k]] : offset[which[k] + 1]]
+            while len(x) > w:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            assert (x == got[k]).all()
+        assert peak < 2 * 8 * int(words[which].sum()) + 3 * got.nbytes
