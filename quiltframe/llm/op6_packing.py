@@ -18,6 +18,17 @@ VOCAB = 1 << 16
 TASK_BITS, SHARD_BITS = 44, 20
 
 
+def counted(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids of each document, ascending, one document after another; how often it has them; where each document ends."""
+    key = np.repeat(np.arange(len(ids), dtype=np.uint64) << np.uint64(16), [len(x) for x in ids]) | np.concatenate(ids)
+    key = key.astype(np.uint32) if len(ids) <= VOCAB else key
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(key)))
+    key = key[first].astype(np.int64)
+    return key & (VOCAB - 1), n, np.searchsorted(key >> 16, np.arange(len(ids)), "right")
+
+
 def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, n and ids (16-bit, zstd by Parquet) of every text, and for each task the documents and document frequencies of all ids (n < 0)."""
     end = np.array([end_id], "<u2").tobytes()
@@ -27,10 +38,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         for keys, texts in rows(batches, "doc_id", "text"):
             for k, t in chunked(500, keys, texts):
                 out = [raw + end for raw in enc.encode(t)]
-                for raw in out:
-                    x = np.sort(np.frombuffer(raw, "<u2"), kind="stable")
-                    df[x[np.flatnonzero(x[1:] != x[:-1])]] += 1
-                    df[x[-1]] += 1
+                df += np.bincount(counted([np.frombuffer(raw, "<u2") for raw in out])[0], minlength=VOCAB)
                 n_docs += len(out)
                 n_ids += sum(map(len, out)) // 2
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array([len(x) // 2 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "ids"])
@@ -195,9 +203,12 @@ class Shard:
 def _vectors(ids: list[np.ndarray], idf: np.ndarray, base: np.ndarray) -> np.ndarray:
     """Random projections of the documents' weighted terms, of length 1."""
     v = np.zeros((len(ids), base.shape[1]), np.float32)
-    for k, x in enumerate(ids):
-        t, tf = np.unique(x.astype(np.int64), return_counts=True)
-        v[k] = (idf[t] * tf / (tf + 1.2)).astype(np.float32) @ base[t]
+    for at in range(0, len(ids), 500):
+        t, tf, end = counted(ids[at : at + 500])
+        weight, lo = (idf[t] * tf / (tf + 1.2)).astype(np.float32), 0
+        for k, hi in enumerate(end.tolist(), at):
+            v[k] = weight[lo:hi] @ base[t[lo:hi]]
+            lo = hi
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 

@@ -101,3 +101,16 @@ def test_table(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     verify(texts, QUERIES["op6_packing"](spark, sf).collect(), 4096)
+
+
+def test_terms_of_many_documents_at_once():
+    from quiltframe.llm import op6_packing
+
+    g = np.random.default_rng(9)
+    ids = [g.integers(0, 65_536, int(n)).astype("<u2") for n in [0, 1, 700, 3, 0]] + [np.array([65_535, 0, 65_535], "<u2")]
+    t, tf, end = op6_packing.counted(ids)
+    lo = 0
+    for x, hi in zip(ids, end, strict=True):
+        a, b = np.unique(x.astype(np.int64), return_counts=True)
+        assert (t[lo:hi] == a).all() and (tf[lo:hi] == b).all() and len(a) == hi - lo
+        lo = hi
